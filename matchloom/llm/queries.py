@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontaminate, dedup, html_extract, mix, quality, token_counts, toxicity, warc
+from matchloom.llm import decontaminate, dedup, html_extract, mix, ngram_join, pii, quality, token_counts, toxicity, warc
 from matchloom.llm.common import held_out
 
+#: Deployments pass their own secret; the registered query needs a fixed one.
+PII_KEY = "example key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -42,6 +45,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 5-word shingles, Jaccard similarity 0.75."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by surrogates."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum-cut main text of every page."""
     return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -67,6 +80,8 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_ngram_join": op5_ngram_join,
+    "op7_pii": op7_pii,
     "op6_html_extract": op6_html_extract,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
