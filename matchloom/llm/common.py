@@ -53,7 +53,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_at: int, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``budget`` bytes of text (one row at least)."""
     for batch in batches:
         col = batch.column(text_at)

@@ -111,7 +111,7 @@ def frequent_shingles(rows: DataFrame, k: int, least: int, most_rows: int) -> tu
         for b in slices(batches, 0):
             values, _ = shingle_sets(text_bytes(b.column(0)), k)
             held.append((values & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield flush()
         if held:
             yield flush()
