@@ -53,7 +53,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_at: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``budget`` bytes of text (one row at least)."""
     for batch in batches:
         col = batch.column(text_at)
@@ -102,18 +102,11 @@ def id_bitmap(ids: DataFrame, bits: int = ID_BITS) -> np.ndarray:
     return words
 
 
-def maybe_member(column: str | Column, bitmap: np.ndarray, bits: int = ID_BITS) -> Column:
-    """True where the id may be in the bitmap; null ids are never members."""
-
-    @F.pandas_udf("boolean")
-    def test(ids):
-        import pandas as pd
-
-        known = ids.notna().to_numpy()
-        s = slot_of(ids.fillna(0).to_numpy(dtype=np.int64), bits)
-        return pd.Series(known & ((bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool))
-
-    return test(F.col(column).cast("long") if isinstance(column, str) else column)
+def maybe_members(ids: pa.Array, bitmap: np.ndarray, bits: int = ID_BITS) -> np.ndarray:
+    """Mask of the ids that may be in the bitmap; null ids never are."""
+    known = np.asarray(pc.is_valid(ids))
+    s = slot_of(np.asarray(pc.fill_null(ids.cast(pa.int64()), 0)), bits)
+    return known & ((bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)
 
 
 def without_ids(docs: DataFrame, drop: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,12 +114,18 @@ def without_ids(docs: DataFrame, drop: DataFrame, key: str = "doc_id") -> DataFr
 
     ``drop`` is read twice, so pass a checkpointed or written frame.
     """
-    bitmap = id_bitmap(drop.select(key))
-    flag = "__suspect"
-    marked = docs.withColumn(flag, maybe_member(key, bitmap))
-    sure = marked.filter(~F.col(flag)).drop(flag)
-    rest = marked.filter(F.col(flag)).drop(flag)
-    return sure.unionByName(rest.join(drop.select(key).distinct().hint("shuffle_hash"), key, "left_anti").select(*docs.columns))
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(drop.select(key)))
+    at = docs.columns.index(key)
+
+    def pick(suspect: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(maybe_members(b.column(at), bitmap.value) == suspect))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    rest = pick(True).join(drop.select(key).distinct().hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    return pick(False).unionByName(rest)
 
 
 # --- vectorised words --------------------------------------------------------------
@@ -146,7 +145,7 @@ ALNUM = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             p = np.full(size, base, np.uint64)

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, gram_hashes, id_bitmap, maybe_member, mix64, shuffle_parts, slices, text_bytes, without_ids, word_hashes
+from matchloom.llm.common import cut, gram_hashes, id_bitmap, maybe_members, mix64, shuffle_parts, slices, text_bytes, without_ids, word_hashes
 
 K = 5
 THRESHOLD = Fraction(3, 4)
 #: Shingles seen this often go behind the others.
 FREQUENT = 32
+#: Leaders that a class is compared with if the first was too far from it.
+OTHER_LEADERS = 6
 #: The table of frequent shingles is broadcast; the bound on its rows is kept by raising FREQUENT in steps of two.
 FREQUENT_ROWS = 1 << 21
 
@@ -182,14 +184,16 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Da
     """``pairs`` (a, b) with ``linked`` and ``distance``; the sets are made again from the texts of the classes' first documents."""
     wanted = cut(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(classes.hint("merge"), "c").select("c", "k1", "k2"))
 
+    bitmap = rows.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select("c")))
+
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices((b.filter(pa.array(maybe_members(b.column(0), bitmap.value))) for b in batches), 1):
             values, start = shingle_sets(text_bytes(b.column(1)), k)
             k1, k2 = _set_keys(values, start)
             blobs = [values[start[i] : start[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), pa.array(k2), pa.array(blobs, pa.binary())], ["c", "k1", "k2", "tokens"])
 
-    found = rows.filter(maybe_member("id", id_bitmap(wanted.select("c")))).mapInArrow(sets, "c long, k1 long, k2 long, tokens binary")
+    found = rows.mapInArrow(sets, "c long, k1 long, k2 long, tokens binary")
     found = found.join(wanted.hint("shuffle_hash"), ["c", "k1", "k2"], "left_semi").dropDuplicates(["c", "k1", "k2"]).select("c", "tokens")
     both = pairs.select("a", "b").join(found.select(F.col("c").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(found.select(F.col("c").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
 
@@ -203,6 +207,16 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Da
     return cut(out.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
 
 
+def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], only: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): for each priority the class a that comes first in most posting lists of class b, if in enough of them."""
+    first = units.groupBy("token").agg(*[F.min(F.struct(p.alias("p"), F.col("c").alias("a"))).alias(f"m{i}") for i, p in enumerate(priorities)])
+    rows = units if only is None else units.join(only.hint("merge"), "c", "left_semi")
+    seen = rows.join(first.hint("merge"), "token").select("c", "n", F.posexplode(F.array(*[F.col(f"m{i}.a") for i in range(len(priorities))])).alias("i", "a"))
+    votes = seen.filter("a <> c").groupBy("i", "a", "c", "n").agg(F.count("*").alias("votes")).filter(F.col("votes") >= 0.3 * prefix)
+    best = votes.groupBy("i", "c").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
+    return best.select("a", F.col("c").alias("b")).distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node with an edge: rows (``c``, ``component``), from edges (a, b).
 
@@ -254,34 +268,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     units = lists.join(members.hint("merge"), "g").select("token", "c", "n").unionByName(members.join(many.hint("merge"), "g", "left_semi").select(F.col("g").alias("token"), "c", "n"))
     units = cut(units)
 
-    # Stars: each class against the smallest class of most of its lists.
-    low = units.groupBy("token").agg(F.min("c").alias("a"))
-    votes = units.join(low.hint("merge"), "token").filter("a <> c").groupBy("a", "c", "n").agg(F.count("*").alias("votes"))
-    leader = votes.groupBy("c").agg(F.max_by(F.struct("a", "votes", "n"), F.struct("votes", -F.col("a"))).alias("p"))
+    # Stars: each class against a leader, the smallest class of most of its lists; then the rest against some others.
     prefix: Column = F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1
-    offers = leader.select(F.col("p.a").alias("a"), F.col("c").alias("b"), F.col("p.votes").alias("votes"), F.col("p.n").alias("n")).filter(F.col("votes") >= 0.3 * prefix)
     same_group = members.join(many.hint("merge"), "g", "left_semi")
     first = same_group.groupBy("g").agg(F.min("c").alias("a"))
     in_group = same_group.join(first.hint("merge"), "g").filter("a <> c").select("a", F.col("c").alias("b"))
-    tried = _verify(cut(offers.select("a", "b").unionByName(in_group).distinct()), classes, rows, k)
-    links = tried.filter("linked").select("a", "b", "distance")
+    offers = _leaders(units, prefix, [F.col("c")])
+    tried = _verify(cut(offers.unionByName(in_group).distinct()), classes, rows, k)
+    linked = tried.filter("linked").select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    loose = units.join(linked.hint("merge"), "c", "left_anti").select("c").distinct()
+    more = _leaders(units, prefix, [F.xxhash64("c", F.lit(i)) for i in range(OTHER_LEADERS)], loose)
+    again = _verify(cut(more.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti").distinct()), classes, rows, k)
+    links = tried.filter("linked").select("a", "b", "distance").unionByName(again.filter("linked").select("a", "b", "distance"))
     led = links.select(F.col("b").alias("a")).distinct()
     stars = cut(links.join(led.hint("merge"), "a", "left_anti").groupBy("b").agg(F.min_by(F.struct("a", "distance"), F.struct("distance", "a")).alias("s")).select(F.col("b").alias("c"), F.col("s.a").alias("star"), F.col("s.distance").alias("r")))
+    known_parts = cut(components(links.select("a", "b")))
 
     # Star pairs that share prefix shingles: enough of them for some pair of members to link.
-    placed = units.join(stars.hint("merge"), "c", "left").select("token", "c", "n", F.coalesce("star", "c").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"))
-    placed = cut(placed)
+    placed = units.join(stars.hint("merge"), "c", "left").join(known_parts.hint("merge"), "c", "left")
+    placed = cut(placed.select("token", "c", "n", F.coalesce("star", "c").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("component", "c").alias("part")))
     shape = placed.groupBy("star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("radius"))
-    seats = placed.select("token", "star").distinct()
-    several = seats.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    seats = cut(seats.join(several.hint("merge"), "token", "left_semi").join(shape.hint("merge"), "star"))
-    right = seats.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "low", "high", "radius")])
+    # Only stars of different parts can bring a new connection: lists within one part go, and parts are paired before stars.
+    parts = placed.select("token", "part").distinct()
+    several = parts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    parts = cut(parts.join(several.hint("merge"), "token", "left_semi"))
+    seats = cut(placed.join(several.hint("merge"), "token", "left_semi").select("token", "star", "part").distinct().join(shape.hint("merge"), "star"))
     t = float(THRESHOLD)
-    fits = (F.col("low") * t <= F.col("high2")) & (F.col("low2") * t <= F.col("high")) & (F.col("star") < F.col("star2"))
-    counted = seats.join(right.hint("merge"), "token").filter(fits).groupBy("star", "star2", "low", "high", "radius", "low2", "high2", "radius2").agg(F.count("*").alias("shared"))
+    met = parts.join(parts.select("token", F.col("part").alias("part2")).hint("merge"), "token").filter("part < part2")
+    right = seats.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "part", "low", "high", "radius")])
+    fits = (F.col("low") * t <= F.col("high2")) & (F.col("low2") * t <= F.col("high"))
+    faced = met.join(seats.hint("merge"), ["token", "part"]).join(right.hint("merge"), ["token", "part2"]).filter(fits)
+    counted = faced.groupBy("star", "star2", "low", "high", "radius", "low2", "high2", "radius2").agg(F.count("*").alias("shared"))
     least = (F.col("low") + F.col("low2")) * (t / (1 + t)) - F.greatest("high", "high2") * t - 0.01
-    joined = tried.filter("linked").select(F.col("a").alias("star"), F.col("b").alias("star2"))
-    pairs = cut(counted.filter(F.col("shared") >= least).join(joined.hint("merge"), ["star", "star2"], "left_anti").select(F.col("star").alias("a"), F.col("star2").alias("b"), "radius", "radius2"))
+    pairs = cut(counted.filter(F.col("shared") >= least).select(F.col("star").alias("a"), F.col("star2").alias("b"), "radius", "radius2"))
     centre = _verify(pairs, classes, rows, k)
 
     # Where the triangle inequality leaves room, the members that share a prefix shingle.
