@@ -136,7 +136,7 @@ class TokenBucket(StatefulProcessor):
         self.rate, self.burst, self.most_wait = rate, burst, most_wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, at double", 3_600_000)
+        self.state = handle.getValueState("bucket", "tokens double, at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         requests = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
@@ -159,7 +159,7 @@ class TokenBucket(StatefulProcessor):
 
 def pace_requests(stream: DataFrame, rate: float = 1.0, burst: int = 3, most_wait: float = 10.0) -> DataFrame:
     """Wait of each request (host, request_id, ts) under the host's token bucket."""
-    return stream.select("host", "request_id", "ts").groupBy("host").transformWithStateInPandas(TokenBucket(rate, burst, most_wait), PACED, "Append", "ProcessingTime")
+    return stream.select("host", "request_id", "ts").groupBy("host").transformWithStateInPandas(TokenBucket(rate, burst, most_wait), PACED, "Append", "None")
 
 
 JOB_STATE = "job_id long, status string, attempts int, last_error string, next_delay_s double"
