@@ -195,11 +195,13 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     pieces = F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), F.col("mentions").alias("mention"))
     hit = cut(hit.select("doc_id", "row", F.posexplode(pieces).alias("pos", "p")).select("doc_id", "row", "pos", F.col("p.gap").alias("gap"), F.col("p.mention").alias("mention")))
     kind = entity_type(F.col("mention"))
-    found = hit.withColumn("kind", F.when(F.col("mention").isNotNull(), kind)).withColumn("entity", canonical(F.col("kind"), F.col("mention")))
-    names = assign(cut(found.filter(F.col("kind").isNotNull()).select("kind", "entity").distinct()), key).select("kind", "entity", "surrogate")
-    joined = found.join(names.hint("merge"), ["kind", "entity"], "left")
-    piece = F.concat(F.coalesce("gap", F.lit("")), F.coalesce(in_shape(F.col("kind"), F.col("mention"), F.col("surrogate")), F.lit("")))
-    back = joined.select("doc_id", "row", "pos", piece.alias("piece"), F.col("kind").isNotNull().cast("int").alias("one")).groupBy("row").agg(
+    # The last piece of a text has no entity behind it and takes no part in the join.
+    ends = hit.filter(F.col("mention").isNull()).select("doc_id", "row", "pos", F.coalesce("gap", F.lit("")).alias("piece"), F.lit(0).alias("one"))
+    found = hit.filter(F.col("mention").isNotNull()).withColumn("kind", kind).withColumn("entity", canonical(F.col("kind"), F.col("mention")))
+    names = assign(cut(found.select("kind", "entity").distinct()), key).select("kind", "entity", "surrogate")
+    joined = found.join(names.hint("merge"), ["kind", "entity"])
+    piece = F.concat(F.coalesce("gap", F.lit("")), in_shape(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    back = joined.select("doc_id", "row", "pos", piece.alias("piece"), F.lit(1).alias("one")).unionByName(ends).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "").alias("text"),
         F.sum("one").cast("int").alias("n_entities"),
