@@ -42,6 +42,18 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def id_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those whose key has the lowest hashes.
+
+    Rows are counted first, so that about as many pass the hash filter as are
+    wanted; what meets in one task does not grow with the number of tasks.
+    """
+    total = rows.count()
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    rate = min(1.0, (1.2 * most + 100) / max(total, 1))
+    return rows.filter(h < int(rate * (1 << 40))).orderBy(h, key).limit(most)
+
+
 def extended(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     """``schema`` with the named fields replaced or appended at the end."""
     names = {n for n, _ in fields}

@@ -20,7 +20,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import ensure_checkpoint_dir
+from matchloom.llm.common import ensure_checkpoint_dir, id_sample
 
 DICT_MAGIC = 0x184D2A5D
 #: A skippable frame of one byte; the byte is the newline that the sink adds.
@@ -31,7 +31,9 @@ READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest stri
 
 def train_dictionary(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = 256, sample_bytes: int = 8192, size: int = 16384) -> bytes:
     """Compression dictionary from at most ``sample`` pages (lowest hash of the id), ``sample_bytes`` of each; empty if they are too few."""
-    rows = pages.filter(F.length(html) > 0).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_bytes).alias("t")).orderBy("h", "t").limit(sample).collect()
+    ids = id_sample(pages.select(page_id), page_id, sample)
+    picked = pages.select(page_id, html).join(F.broadcast(ids.distinct()), page_id).filter(F.length(html) > 0)
+    rows = picked.select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_bytes).alias("t")).orderBy("h", "t").limit(sample).collect()
     try:
         return zstd.train_dictionary(size, [r["t"].encode() for r in rows]).as_bytes()
     except (zstd.ZstdError, ValueError):
