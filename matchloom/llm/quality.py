@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import LOWER, UPPER, extended, held_out, slices, text_bytes
+from matchloom.llm.common import LOWER, UPPER, extended, held_out, id_sample, slices, text_bytes
 from matchloom.llm.crf import ChainCRF
 
 _DIGITS = b"0123456789"
@@ -65,7 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     The bounded sample's features are gathered on the driver.  None if no labels are given.
     """
     sample = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
-    sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    sample = id_sample(sample, "__id", max_docs)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(sample), "__id")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

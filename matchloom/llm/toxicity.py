@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import extended, held_out, slices
+from matchloom.llm.common import extended, held_out, id_sample, slices
 from matchloom.llm.crf import ChainCRF, minimise
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ``max_docs`` are used, weighted for the others.  None without labels.
     """
     known = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
-    pick = lambda y: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    pick = lambda y: id_sample(known.filter(F.col("__y") == y), "__id", max_docs)
     sample = pick(1).unionByName(pick(0))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(sample), "__id").select("__id", "__t", "__y")
 
