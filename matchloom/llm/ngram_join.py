@@ -163,14 +163,14 @@ def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray])
             owner = np.repeat(np.arange(len(texts)), n)
             order = np.lexsort((values, rank, owner))
             ordered = values[order]
-            groups, prefixes = [], []
+            groups, prefixes, named = [], [], np.asarray(b.column(0).is_valid())
             for i in range(len(texts)):
                 p = ordered[start[i] : start[i] + prefix_length(int(n[i]))] if n[i] else ordered[:0]
                 g = int(np.bitwise_xor.reduce(mix64(p))) ^ int(n[i]) * 0x9E3779B97F4A7C15 % 2**64 if len(p) else None
                 g = g - 2**64 if g is not None and g >= 2**63 else g
                 groups.append(g)
-                prefixes.append(p.view(np.int64) if g is not None and g not in posted else None)
-                if g is not None and len(posted) < 500_000:
+                prefixes.append(p.view(np.int64) if g is not None and named[i] and g not in posted else None)
+                if g is not None and named[i] and len(posted) < 500_000:
                     posted.add(g)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -180,10 +180,9 @@ def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray])
     return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, g long, prefix array<long>")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked`` and ``distance``; the sets are made again from the texts of the classes' first documents."""
-    wanted = cut(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(classes.hint("merge"), "c").select("c", "k1", "k2"))
-
+def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Shingle sets (c, tokens) of the wanted classes (c), made again from the texts of their first documents."""
+    wanted = cut(wanted.distinct().join(classes.hint("merge"), "c").select("c", "k1", "k2"))
     bitmap = rows.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select("c")))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,19 +193,30 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), pa.array(k2), pa.array(blobs, pa.binary())], ["c", "k1", "k2", "tokens"])
 
     found = rows.mapInArrow(sets, "c long, k1 long, k2 long, tokens binary")
-    found = found.join(wanted.hint("shuffle_hash"), ["c", "k1", "k2"], "left_semi").dropDuplicates(["c", "k1", "k2"]).select("c", "tokens")
-    both = pairs.select("a", "b").join(found.select(F.col("c").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(found.select(F.col("c").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+    return found.join(wanted.hint("shuffle_hash"), ["c", "k1", "k2"], "left_semi").dropDuplicates(["c", "k1", "k2"]).select("c", "tokens")
+
+
+def _compared(both: DataFrame, only_links: bool = False) -> DataFrame:
+    """Rows (a, b, ta, tb) with ``linked`` and ``distance`` in place of the sets, one per pair."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             linked, distance = zip(*got) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"])
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"])
+            yield out.filter(out.column(2)) if only_links else out
 
     out = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, distance double")
     return cut(out.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
 
 
+def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (a, b) with ``linked`` and ``distance``."""
+    found = _sets(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))), classes, rows, k)
+    both = pairs.select("a", "b").join(found.select(F.col("c").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(found.select(F.col("c").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+    return _compared(both)
+
+
 def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], only: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b): for each priority the class a that comes first in most posting lists of class b, if in enough of them."""
     first = units.groupBy("token").agg(*[F.min(F.struct(p.alias("p"), F.col("c").alias("a"))).alias(f"m{i}") for i, p in enumerate(priorities)])
@@ -218,7 +228,7 @@ def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], only: D
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node of every node with an edge: rows (``c``, ``component``), from edges (a, b).
+    """Smallest reachable node: rows (``c``, ``component``) from edges (a, b), for all nodes with an edge but the smallest ones themselves.
 
     Alternates two steps that hang every node under the smallest node known
     around it, until nothing changes.  Minima are pre-aggregated, so hubs do
@@ -303,20 +313,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = cut(counted.filter(F.col("shared") >= least).select(F.col("star").alias("a"), F.col("star2").alias("b"), "radius", "radius2"))
     centre = _verify(pairs, classes, rows, k)
 
-    # Where the triangle inequality leaves room, the members that share a prefix shingle.
+    # Where the triangle inequality leaves room, the members: those of the larger star are sent once, those of the smaller meet them there.
     slack = 1 - t + 1e-9
-    open_pairs = centre.filter("not linked").join(pairs.hint("merge"), ["a", "b"]).filter(F.col("distance") <= F.col("radius") + F.col("radius2") + slack).select("a", "b", "distance").filter("distance is not null")
-    open_pairs = cut(open_pairs.join(pairs.filter("radius + radius2 > 0").select("a", "b").hint("merge"), ["a", "b"], "left_semi"))
-    x = placed.select(F.col("star").alias("a"), "token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
-    y = placed.select(F.col("star").alias("b"), "token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"))
-    inner = open_pairs.join(x.hint("merge"), "a").join(y.hint("merge"), ["b", "token"])
-    inner = inner.filter(
-        (F.col("distance") <= F.col("rx") + F.col("ry") + slack) & (F.col("nx") * t <= F.col("ny")) & (F.col("ny") * t <= F.col("nx")) & ~((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
-    )
-    counted = inner.groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny").agg(F.count("*").alias("shared"))
-    exact = (F.col("nx") + F.col("ny")) * (t / (1 + t)) - F.greatest("nx", "ny") * t - 0.01
-    expanded = cut(counted.filter(F.col("shared") >= exact).select("a", "b"))
-    last = _verify(expanded, classes, rows, k) if not expanded.isEmpty() else centre.limit(0)
+    near = centre.filter("not linked").join(pairs.filter("radius + radius2 > 0").hint("merge"), ["a", "b"]).filter(F.col("distance") <= F.col("radius") + F.col("radius2") + slack)
+    near = cut(near.select("a", "b", "distance"))
+    if near.isEmpty():
+        last = centre.limit(0)
+    else:
+        crew = placed.select("star", "c", "n", "r").distinct()
+        heads = crew.groupBy("star").agg(F.count("*").alias("m"))
+        sized = near.join(heads.select(F.col("star").alias("a"), F.col("m").alias("ma")).hint("merge"), "a").join(heads.select(F.col("star").alias("b"), F.col("m").alias("mb")).hint("merge"), "b")
+        larger = F.col("ma") >= F.col("mb")
+        sized = sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), "distance")
+        crew = cut(crew.join(sized.select(F.explode(F.array("big", "small")).alias("star")).distinct().hint("merge"), "star", "left_semi"))
+        tokens = _sets(crew.select("c"), classes, rows, k)
+        manned = crew.join(tokens.hint("merge"), "c")
+        left = manned.select(F.col("star").alias("big"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("tokens").alias("ta"))
+        right = sized.join(manned.select(F.col("star").alias("small"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("tokens").alias("tb")).hint("merge"), "small")
+        possible = (F.col("distance") <= F.col("ra") + F.col("rb") + slack) & (F.col("na") * t <= F.col("nb")) & (F.col("nb") * t <= F.col("na"))
+        last = _compared(left.join(right.hint("merge"), "big").filter(possible), only_links=True)
 
     edges = links.select("a", "b").unionByName(centre.filter("linked").select("a", "b")).unionByName(last.filter("linked").select("a", "b"))
     roots = components(edges)
