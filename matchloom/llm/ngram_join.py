@@ -37,6 +37,10 @@ K = 5
 THRESHOLD = Fraction(3, 4)
 #: Shingles seen this often go behind the others.
 FREQUENT = 32
+#: Edges that one task can hold with ease.
+EDGES_PER_PARTITION = 100_000
+#: Members of a star that are compared in one row.
+BLOCK = 32
 #: Leaders that a class is compared with if the first was too far from it.
 OTHER_LEADERS = 6
 #: The table of frequent shingles is broadcast; the bound on its rows is kept by raising FREQUENT in steps of two.
@@ -196,15 +200,14 @@ def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Dat
     return found.join(wanted.hint("shuffle_hash"), ["c", "k1", "k2"], "left_semi").dropDuplicates(["c", "k1", "k2"]).select("c", "tokens")
 
 
-def _compared(both: DataFrame, only_links: bool = False) -> DataFrame:
+def _compared(both: DataFrame) -> DataFrame:
     """Rows (a, b, ta, tb) with ``linked`` and ``distance`` in place of the sets, one per pair."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             linked, distance = zip(*got) if got else ((), ())
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"])
-            yield out.filter(out.column(2)) if only_links else out
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"])
 
     out = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, distance double")
     return cut(out.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
@@ -236,18 +239,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
+    ends = lambda df, *pairs: df.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
-        e = cut(small)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break
         mark = now
+        # As many partitions as the edges fill: a small graph needs no shuffles between the steps.
+        e = e.coalesce(1) if now.n <= EDGES_PER_PARTITION else e
+        both = ends(e, ("u", "v"), ("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = ends(large.join(least.hint("merge"), "u"), ("v", "m"), ("u", "m")).filter("u <> v").distinct()
+        e = cut(small)
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "c")
@@ -328,10 +333,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         crew = cut(crew.join(sized.select(F.explode(F.array("big", "small")).alias("star")).distinct().hint("merge"), "star", "left_semi"))
         tokens = _sets(crew.select("c"), classes, rows, k)
         manned = crew.join(tokens.hint("merge"), "c")
-        left = manned.select(F.col("star").alias("big"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("tokens").alias("ta"))
+        blocks = F.ceil(F.col("m") / BLOCK)
+        left = manned.join(heads.hint("merge"), "star").groupBy(F.col("star").alias("big"), F.pmod(F.xxhash64("c"), blocks).alias("block")).agg(F.collect_list(F.struct("c", "n", "r", "tokens")).alias("crew"))
         right = sized.join(manned.select(F.col("star").alias("small"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("tokens").alias("tb")).hint("merge"), "small")
-        possible = (F.col("distance") <= F.col("ra") + F.col("rb") + slack) & (F.col("na") * t <= F.col("nb")) & (F.col("nb") * t <= F.col("na"))
-        last = _compared(left.join(right.hint("merge"), "big").filter(possible), only_links=True)
+        met = left.join(right.hint("merge"), "big").select("crew", "b", "nb", "rb", "tb", "distance")
+
+        def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for i in range(batch.num_rows):
+                    block, b, nb, rb, tb, far = (batch.column(j)[i].as_py() for j in range(6))
+                    mine = np.frombuffer(tb, np.uint64)
+                    for x in block:
+                        if far <= x["r"] + rb + slack and x["n"] * t <= nb and nb * t <= x["n"] and similar(np.frombuffer(x["tokens"], np.uint64), mine)[0]:
+                            out.append((x["c"], b))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        last = cut(met.mapInArrow(link, "a long, b long").withColumn("linked", F.lit(True)))
 
     edges = links.select("a", "b").unionByName(centre.filter("linked").select("a", "b")).unionByName(last.filter("linked").select("a", "b"))
     roots = components(edges)
