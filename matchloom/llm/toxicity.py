@@ -1,11 +1,13 @@
 """Toxicity: a linear-chain conditional random field tags the tokens of toxic spans.
 
-Only documents carry labels, so tokens are labelled first: words whose distinct
-left neighbours are far more frequent in toxic training documents than in
-clean ones form a lexicon (copies of one passage bring no new neighbours, and
-so no weight), and a training token is toxic if it is such a word in a toxic
-document.  The field sees each token's own evidence and that of its
-neighbours.  Forward-backward marginals give the offending offsets and, through
+Only documents carry labels, so tokens are labelled first: words, and beginnings
+of words (stems), whose distinct left neighbours are far more frequent in toxic
+training documents than in clean ones form a lexicon (copies of one passage
+bring no new neighbours, and so no weight), and a training token is toxic if it
+is such a word, or begins with such a stem, in a toxic document.  Stems find
+open compounds, whose full forms are too rare to be learned.  The field sees
+each token's own evidence, that of its neighbours, and the number and share of
+tokens with evidence nearby.  Forward-backward marginals give the offending offsets and, through
 a logistic layer fitted on the same training documents, the document's score.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import extended, held_out, id_sample, slices
+from matchloom.llm.common import cut, extended, held_out, id_sample, slices
 from matchloom.llm.crf import ChainCRF, minimise
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Digits that stand for letters.
 PLAIN = str.maketrans("013457", "oieast")
-N_FEATURES = 7
+#: Lengths of the beginnings of words that are stems.
+STEM_LENGTHS = range(4, 8)
+#: Tokens on either side that are nearby.
+NEARBY = 8
+N_FEATURES = 9
 N_DOC = 4
 
 
@@ -36,13 +42,29 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def evidence(words: list[str], lexicon: dict[str, float]) -> list[float]:
-    """Lexicon weight of each token, 0 for unknown words; digits within words are read as letters too."""
-    get = lexicon.get
+def by_head(stems: dict[str, float]) -> dict[str, dict[str, float]]:
+    """Stems by their first letters, as many as the shortest has."""
+    out: dict[str, dict[str, float]] = {}
+    for stem, weight in stems.items():
+        out.setdefault(stem[: STEM_LENGTHS[0]], {})[stem] = weight
+    return out
+
+
+def evidence(words: list[str], lexicon: dict[str, float], stems: dict[str, dict[str, float]]) -> list[float]:
+    """Largest weight of each token and of its stems, 0 for unknown ones; digits within words are read as letters too."""
+    get, heads = lexicon.get, STEM_LENGTHS[0]
+
+    def stem(w: str) -> float:
+        near = stems.get(w[:heads])
+        return max(near.get(w[:n], 0.0) for n in STEM_LENGTHS) if near else 0.0
+
     found = [get(w, 0.0) for w in words]
     for k, w in enumerate(words):
+        if w[:heads] in stems:
+            found[k] = max(found[k], stem(w))
         if not found[k] and not w.isalpha() and not w.isdigit():
-            found[k] = get(w.translate(PLAIN), 0.0)
+            plain = w.translate(PLAIN)
+            found[k] = max(get(plain, 0.0), stem(plain))
     return found
 
 
@@ -52,6 +74,10 @@ def token_features(found: np.ndarray) -> np.ndarray:
     x[:, 0], x[:, 1], x[:, 2] = 1.0, hit, found
     x[1:, 3], x[:-1, 4] = hit[:-1], hit[1:]
     x[2:, 5], x[:-2, 6] = hit[:-2], hit[2:]
+    at, until = np.arange(len(found)), np.concatenate([[0], np.cumsum(hit)])
+    low, high = np.maximum(at - NEARBY, 0), np.minimum(at + NEARBY + 1, len(found))
+    near = until[high] - until[low] - hit
+    x[:, 7], x[:, 8] = np.log1p(near), near / np.maximum(high - low - 1, 1)
     return x
 
 
@@ -65,6 +91,7 @@ class ToxicityModel:
     lexicon: dict[str, float]
     chain: ChainCRF
     layer: np.ndarray
+    stems: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def clean_run(self, n: int) -> list[float]:
         """Marginals of ``n`` tokens without any evidence."""
@@ -82,7 +109,7 @@ class ToxicityModel:
     def judge(self, text: str, at_least: float = 0.5) -> tuple[float, int, list[dict]]:
         """Score of a document, number of tokens, and spans of toxic tokens with their character offsets and largest marginal."""
         words = tokens(text)
-        found = evidence(words, self.lexicon)
+        found = evidence(words, self.lexicon, self.stems)
         spans: list[dict] = []
         if any(found):
             p = self.chain.marginals((token_features(np.array(found)) @ self.chain.weights).tolist())
@@ -97,7 +124,7 @@ class ToxicityModel:
                             spans.append({"start": m.start(), "end": m.end(), "p": p[k], "last": k})
             else:  # a character changed length in lower case: find tokens in the text as given
                 for m in TOKEN.finditer(text):
-                    if evidence(tokens(m.group()), self.lexicon)[:1] > [0.0]:
+                    if evidence(tokens(m.group()), self.lexicon, self.stems)[:1] > [0.0]:
                         spans.append({"start": m.start(), "end": m.end(), "p": max(p), "last": -2})
         else:
             feats = self.clean_run(len(words))
@@ -117,7 +144,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 4000, max_words: int = 5000, window: int = 64, min_support: int = 10, min_z: float = 4.0) -> ToxicityModel | None:
     """Train on at most ``max_docs`` toxic and as many clean documents that are not held out (lowest hash of the id).
 
-    The lexicon holds at most ``max_words`` words.  For the chain, tokens are cut
+    The lexicon holds at most ``max_words`` words and as many stems.  For the chain, tokens are cut
     into pieces of ``window`` tokens; of pieces without evidence at most
     ``max_docs`` are used, weighted for the others.  None without labels.
     """
@@ -136,20 +163,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(left, pa.string()), pa.array(y, pa.int32())], ["w", "left", "y"])
 
     pairs = rows.mapInArrow(neighbours, "w string, left string, y int").distinct()
-    counts = pairs.groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    counts = cut(pairs.groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    begun = F.explode(F.array(*[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM_LENGTHS]))
+    beginnings = counts.select(begun.alias("w"), "pos", "neg").filter("w is not null").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = counts.agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
     ratio = F.log((F.col("pos") + 0.5) / (F.col("tp") + 1)) - F.log((F.col("neg") + 0.5) / (F.col("tn") + 1))
     z = ratio / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    chosen = counts.crossJoin(F.broadcast(totals)).withColumn("ratio", ratio).withColumn("z", z).filter((F.col("pos") >= min_support) & (F.col("z") >= min_z) & (F.col("ratio") >= 1.5))
-    lexicon = {r["w"]: round(float(r["ratio"]), 6) for r in chosen.orderBy(F.desc("z"), "w").limit(max_words).select("w", "ratio").collect()}
+
+    def learned(seen: DataFrame) -> dict[str, float]:
+        chosen = seen.crossJoin(F.broadcast(totals)).withColumn("ratio", ratio).withColumn("z", z).filter((F.col("pos") >= min_support) & (F.col("z") >= min_z) & (F.col("ratio") >= 1.5))
+        return {r["w"]: round(float(r["ratio"]), 6) for r in chosen.orderBy(F.desc("z"), "w").limit(max_words).select("w", "ratio").collect()}
+
+    lexicon, stems = learned(counts), by_head(learned(beginnings))
 
     def positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            f = [np.array(evidence(tokens(t or ""), lexicon), np.float32).tobytes() for t in b.column(1).to_pylist()]
+            f = [np.array(evidence(tokens(t or ""), lexicon, stems), np.float32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.binary())], ["id", "y", "f"])
 
     got = rows.mapInArrow(positions, T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])).toArrow().sort_by("id")
-    if not got.num_rows or not lexicon:
+    if not got.num_rows or not (lexicon or stems):
         return None
     found = [np.frombuffer(f, np.float32).astype(float) for f in got.column("f").to_pylist()]
     y = got.column("y").to_numpy().astype(float)
@@ -174,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     w = np.array(weights)
     w[w == 0] = (used + skipped) / max(used, 1)
     chain = ChainCRF.fit(np.concatenate(x), np.array(lengths), np.concatenate(tags), l2=1.0, row_weight=w)
-    model = ToxicityModel(lexicon, chain, np.zeros(N_DOC))
+    model = ToxicityModel(lexicon, chain, np.zeros(N_DOC), stems)
     feats = np.array([document_features(chain.marginals((token_features(f) @ chain.weights).tolist())) if f.any() else model.clean_run(len(f)) for f in found])
     model.layer = _logistic(feats, y)
     del model._runs

@@ -230,6 +230,21 @@ def test_toxicity(spark):
     assert toxicity.fit(d, labels.limit(0)) is None and toxicity.score(odd, None).first().score == 0.0
 
 
+def test_toxicity_of_open_compounds(spark):
+    rng = random.Random(7)
+    rows, marks = [], []
+    for k in range(600):
+        w, toxic = sentence(rng, 40).split(), k % 4 == 0
+        for _ in range(4 if toxic else 0):
+            w[rng.randrange(40)] = "xyzzlich" + "".join(rng.choices("klmnopqrst", k=5))
+        rows.append((k, " ".join(w), "s"))
+        marks.append((k, int(toxic)))
+    d, labels = docs(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, labels)).withColumn("held_out", held_out("doc_id")).filter("held_out").collect()}
+    assert len(out) > 100 and sum((out[k].score >= 0.7) == bool(t) for k, t in marks if k in out) / len(out) > 0.95
+    assert all(rows[k][1][s.start : s.end].startswith("xyzzlich") for k, r in out.items() for s in r.spans if s.end - s.start < 20)
+
+
 def test_held_out_rows(spark):
     import zlib
 
