@@ -220,12 +220,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Da
     return _compared(both)
 
 
-def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], only: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b): for each priority the class a that comes first in most posting lists of class b, if in enough of them."""
+def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], weight: Column, only: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): for each priority the class a that comes first in most posting lists of class b by ``weight``, if in enough of them."""
     first = units.groupBy("token").agg(*[F.min(F.struct(p.alias("p"), F.col("c").alias("a"))).alias(f"m{i}") for i, p in enumerate(priorities)])
     rows = units if only is None else units.join(only.hint("merge"), "c", "left_semi")
-    seen = rows.join(first.hint("merge"), "token").select("c", "n", F.posexplode(F.array(*[F.col(f"m{i}.a") for i in range(len(priorities))])).alias("i", "a"))
-    votes = seen.filter("a <> c").groupBy("i", "a", "c", "n").agg(F.count("*").alias("votes")).filter(F.col("votes") >= 0.3 * prefix)
+    seen = rows.join(first.hint("merge"), "token").select("c", "n", weight.alias("w"), F.posexplode(F.array(*[F.col(f"m{i}.a") for i in range(len(priorities))])).alias("i", "a"))
+    votes = seen.filter("a <> c").groupBy("i", "a", "c", "n").agg(F.sum("w").alias("votes")).filter(F.col("votes") >= 0.3 * prefix)
     best = votes.groupBy("i", "c").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
     return best.select("a", F.col("c").alias("b")).distinct()
 
@@ -280,19 +280,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = posts.withColumn("lo", F.min("g").over(one_list)).withColumn("hi", F.max("g").over(one_list)).filter("lo <> hi").select("token", "g").distinct()
     many = classes.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
     members = classes.select("g", "c", "n")
-    units = lists.join(members.hint("merge"), "g").select("token", "c", "n").unionByName(members.join(many.hint("merge"), "g", "left_semi").select(F.col("g").alias("token"), "c", "n"))
-    units = cut(units)
+    # A group's own list stands for its whole prefix, which all its classes share.
+    prefix: Column = F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1
+    units = lists.join(members.hint("merge"), "g").select("token", "c", "n", F.lit(1).cast("long").alias("w"))
+    units = cut(units.unionByName(members.join(many.hint("merge"), "g", "left_semi").select(F.col("g").alias("token"), "c", "n", prefix.cast("long").alias("w"))))
 
     # Stars: each class against a leader, the smallest class of most of its lists; then the rest against some others.
-    prefix: Column = F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1
     same_group = members.join(many.hint("merge"), "g", "left_semi")
     first = same_group.groupBy("g").agg(F.min("c").alias("a"))
     in_group = same_group.join(first.hint("merge"), "g").filter("a <> c").select("a", F.col("c").alias("b"))
-    offers = _leaders(units, prefix, [F.col("c")])
+    offers = _leaders(units, prefix, [F.col("c")], F.lit(1))
     tried = _verify(cut(offers.unionByName(in_group).distinct()), classes, rows, k)
     linked = tried.filter("linked").select(F.explode(F.array("a", "b")).alias("c")).distinct()
     loose = units.join(linked.hint("merge"), "c", "left_anti").select("c").distinct()
-    more = _leaders(units, prefix, [F.xxhash64("c", F.lit(i)) for i in range(OTHER_LEADERS)], loose)
+    more = _leaders(units, prefix, [F.xxhash64("c", F.lit(i)) for i in range(OTHER_LEADERS)], F.col("w"), loose)
     again = _verify(cut(more.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti").distinct()), classes, rows, k)
     links = tried.filter("linked").select("a", "b", "distance").unionByName(again.filter("linked").select("a", "b", "distance"))
     led = links.select(F.col("b").alias("a")).distinct()
@@ -301,19 +302,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Star pairs that share prefix shingles: enough of them for some pair of members to link.
     placed = units.join(stars.hint("merge"), "c", "left").join(known_parts.hint("merge"), "c", "left")
-    placed = cut(placed.select("token", "c", "n", F.coalesce("star", "c").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("component", "c").alias("part")))
+    placed = cut(placed.select("token", "w", "c", "n", F.coalesce("star", "c").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("component", "c").alias("part")))
     shape = placed.groupBy("star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("radius"))
     # Only stars of different parts can bring a new connection: lists within one part go, and parts are paired before stars.
     parts = placed.select("token", "part").distinct()
     several = parts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     parts = cut(parts.join(several.hint("merge"), "token", "left_semi"))
-    seats = cut(placed.join(several.hint("merge"), "token", "left_semi").select("token", "star", "part").distinct().join(shape.hint("merge"), "star"))
+    seats = cut(placed.join(several.hint("merge"), "token", "left_semi").select("token", "w", "star", "part").distinct().join(shape.hint("merge"), "star"))
     t = float(THRESHOLD)
     met = parts.join(parts.select("token", F.col("part").alias("part2")).hint("merge"), "token").filter("part < part2")
     right = seats.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "part", "low", "high", "radius")])
     fits = (F.col("low") * t <= F.col("high2")) & (F.col("low2") * t <= F.col("high"))
     faced = met.join(seats.hint("merge"), ["token", "part"]).join(right.hint("merge"), ["token", "part2"]).filter(fits)
-    counted = faced.groupBy("star", "star2", "low", "high", "radius", "low2", "high2", "radius2").agg(F.count("*").alias("shared"))
+    counted = faced.groupBy("star", "star2", "low", "high", "radius", "low2", "high2", "radius2").agg(F.sum("w").alias("shared"))
     least = (F.col("low") + F.col("low2")) * (t / (1 + t)) - F.greatest("high", "high2") * t - 0.01
     pairs = cut(counted.filter(F.col("shared") >= least).select(F.col("star").alias("a"), F.col("star2").alias("b"), "radius", "radius2"))
     centre = _verify(pairs, classes, rows, k)

@@ -173,6 +173,25 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in brute_components(rows).values()})
 
 
+def test_near_duplicates_within_one_prefix_group(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 16)
+    head, tails = sentence(rng, 24).split(), [sentence(rng, 40).split() for _ in range(3)]
+    texts, pieces = [head + tails[0]], []
+    for tail in tails[1:]:
+        for k in range(3):
+            texts.append(head + tail[:37] + [f"end{k}{j}" for j in range(3)])
+    for w in texts:  # all but the head's shingles are frequent, in short texts
+        pieces += [w[a : a + 14] for a in range(20, len(w) - 4, 10)] * 20
+    rows = [(i, " ".join(w), None) for i, w in enumerate(texts + pieces)]
+    sets = ngram_join._prefixes(docs(spark, rows).selectExpr("doc_id as id", "text"), 5, ngram_join.frequent_shingles(docs(spark, rows).select("text"), 5, 16, 1 << 21))
+    assert sets.filter("id < 7").select("g").distinct().count() == 1
+    want = brute_components(rows)
+    assert [want[i][1] for i in range(7)] == [0, 1, 1, 1, 4, 4, 4]
+    got = ngram_join.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     t = "a b c d e f g h"
