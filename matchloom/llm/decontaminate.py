@@ -2,14 +2,17 @@
 
 Numbers, names and units of a text are replaced by typed placeholders, runs of
 ``k`` template tokens are hashed, and documents' windows are hash-joined to the
-benchmark's.  Windows that fit at one alignment must fill the placeholders
-consistently: one benchmark value stands for one document value.  So an item
-is found when it is copied and when it is asked again with other numbers.
+benchmark's.  Windows at one alignment must fill the placeholders consistently:
+one benchmark value stands for the document value that it has in more than half
+of its places, or for itself; windows with another value are left out, the rest
+of the alignment counts.  So an item is found when it is copied, in part or
+whole, and when it is asked again with other numbers, equal ones included.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -112,10 +115,25 @@ def _hashed(df: DataFrame, key: str, text: str, lengths: list[int], wanted: np.n
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, h long, at long, n long, slots array<string>")
 
 
+def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each alignment the windows that fit, by their place in the item, and the number of different bindings in them."""
+    for batch in batches:
+        ats, n_slots = [], []
+        for windows in batch.column(3).to_pylist():
+            votes: dict[str, Counter[str]] = {}
+            for _, a, b in {(p["at"], p["a"], p["b"]) for w in windows for p in w["bindings"]}:
+                votes.setdefault(a, Counter())[b] += 1
+            good = {(a, b) for a, c in votes.items() for b, n in c.items() if a == b or 2 * n > c.total()}
+            fit = [w for w in windows if all((p["a"], p["b"]) in good for p in w["bindings"])]
+            ats.append([w["item_at"] for w in fit])
+            n_slots.append(len({(p["a"], p["b"]) for w in fit for p in w["bindings"]}))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ats, pa.list_(pa.int64())), pa.array(n_slots, pa.int64())], ["doc_id", "item_id", "item_windows", "ats", "n_slots"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, run: int = 13) -> DataFrame:
     """Pairs of document and benchmark item: ``doc_id``, ``item_id``, ``matched``, ``item_windows``, ``coverage``, ``n_slots``.
 
-    A pair is reported if windows at consistent alignments cover at least
+    A pair is reported if windows with consistent placeholders cover at least
     ``share`` of the item's windows, or ``run`` windows.  Items of fewer than
     ``K`` template tokens have one window, of all their tokens; below
     ``SHORTEST`` tokens an item matches nothing.  Null texts count as empty;
@@ -132,10 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     side = F.broadcast(side) if items.count() <= BROADCAST_WINDOWS else side.hint("merge")
     pairs = found.join(side, "h").filter(F.size("doc_slots") == F.size("item_slots")).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     value = lambda x: F.substring_index(x, "=", -1)
-    binding = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda z: F.struct(value(z["item_slots"]).alias("a"), value(z["doc_slots"]).alias("b")))
-    aligned = pairs.groupBy("doc_id", "item_id", "item_windows", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(binding))).alias("pairs"))
-    consistent = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
-    per = aligned.filter(consistent).groupBy("doc_id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    place = lambda x: F.col("item_at") + F.substring_index(x, "=", 1).cast("long")
+    binding = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda z: F.struct(place(z["item_slots"]).alias("at"), value(z["item_slots"]).alias("a"), value(z["doc_slots"]).alias("b")))
+    aligned = pairs.groupBy("doc_id", "item_id", "item_windows", "shift").agg(F.collect_set(F.struct("item_at", binding.alias("bindings"))).alias("windows"))
+    settled = aligned.select("doc_id", "item_id", "item_windows", "windows").mapInArrow(_settled, "doc_id long, item_id long, item_windows long, ats array<long>, n_slots long")
+    per = settled.groupBy("doc_id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.max("n_slots").alias("n_slots")).filter("matched > 0")
     return per.withColumn("coverage", F.col("matched") / F.col("item_windows")).filter((F.col("coverage") >= share) | (F.col("matched") >= run)).select("doc_id", "item_id", "matched", "item_windows", "coverage", "n_slots")
 
 

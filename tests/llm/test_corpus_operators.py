@@ -370,6 +370,20 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_contaminated_with_inconsistent_slots(spark):
+    rng = random.Random(9)
+    words = [sentence(rng, 12) for _ in range(4)]
+    item = f"{words[0]} 3 {words[1]} 3 {words[2]} 4 {words[3]}"
+    slip = f"{words[0]} 3 {words[1]} 5 {words[2]} 4 {words[3]}"
+    equal = f"{words[0]} 5 {words[1]} 5 {words[2]} 5 {words[3]}"
+    dense = "a 3 b 3 c 3 d 3 e 3 f 3 g 3 h 3 i 3 j"
+    bench = spark.createDataFrame([(0, item), (1, dense)], "item_id long, text string")
+    rows = [(0, item, None), (1, slip, None), (2, equal, None), (3, dense.replace("3", "7"), None), (4, dense.replace("i 3", "i 9").replace("3", "7"), None), (5, "".join(str(k) if c == "3" else c for k, c in enumerate(dense)), None)]
+    got = {(r.doc_id, r.item_id): (r.matched, r.item_windows) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)}
+    assert got[0, 0] == got[2, 0] == (44, 44) and got[1, 0] == (36, 44) and got[3, 1] == (12, 12) and got[4, 1] == (10, 12)
+
+
 def test_token_counts(spark):
     path = f"{token_counts.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
     texts = ["One line.\n\nTwo  lines éé\n", "", None, "日本語 text\n" * 3, "x" * 50_000, "\n\n\n\nend"]
