@@ -22,7 +22,7 @@ from matchloom.llm.common import cut
 
 # Patterns of the entity types, tried in this order.
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
-SECRET = r"AKIA[0-9A-Z]{16}|(?<![0-9A-Za-z])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z_\-]{8,128}\"?"
+SECRET = r"AKIA[0-9A-Z]{16}|(?<![0-9A-Za-z])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z_\-]{8,128}\"?"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -67,7 +67,7 @@ def canonical(kind: Column, m: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "email", F.lower(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "secret", F.regexp_replace(m, r"^(?:password|passwd|secret|token|api_?key)\s*[=:]\s*|\"", ""))
+        .when(kind == "secret", F.regexp_replace(m, r"^(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*|\"", ""))
         .when(kind == "name", F.concat(F.when(m.rlike(f"^(?:{SHE}) "), "she").otherwise("he"), F.lit(":"), bare))
         .otherwise(m)
     )
@@ -136,7 +136,7 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
         .when(kind == "card", _luhn(_refill(entity, h, 1)))
         .when(kind == "name", F.when(words == 1, family).otherwise(F.concat_ws(" ", given, family)))
         .when(kind == "iban", _refill(entity, h, 2))
-        .when(kind == "secret", F.when(entity.startswith("AKIA"), _refill(entity, h, 4)).when(entity.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, 2), F.lit(1), F.length(entity))).otherwise(_refill(entity, h)))
+        .when(kind == "secret", F.when(entity.startswith("AKIA"), _refill(entity, h, 4)).when(entity.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, 2), F.lit(1), F.length(entity))).when(entity.rlike("^[0-9A-F]+$"), F.upper(F.substring(F.repeat(h, 2), F.lit(1), F.length(entity)))).otherwise(_refill(entity, h)))
         .otherwise(_refill(entity, h, F.when(kind == "phone", F.greatest(F.lit(0), F.length(entity) - 10)).otherwise(0)))
     )
 
@@ -149,7 +149,7 @@ def in_shape(kind: Column, mention: Column, value: Column) -> Column:
     spaces_before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), " ", ""))
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(value, spaces_before(i) + 1, F.lit(1)))), "")
     title = F.regexp_extract(mention, f"^(?:{HE}|{SHE}) ", 0)
-    lead = F.regexp_extract(mention, r"^(?:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?", 0)
+    lead = F.regexp_extract(mention, r"^(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?", 0)
     return (
         F.when(kind.isin("phone", "card", "ssn"), grouped)
         .when(kind == "email", F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(value)).otherwise(value))

@@ -348,6 +348,16 @@ def test_surrogates(spark):
     assert other != mail and pii.pseudonymise(docs(spark, []), "k").count() == 0
 
 
+def test_secrets_with_keys_in_any_case(spark):
+    texts = ['TOKEN = "9233A8EC41D05B7F"', "Password: Hunter2Hunter2", 'token = "9233A8EC41D05B7F"', "Api_Key=0a1b2c3d4e5f"]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymise(docs(spark, [(k, t, None) for k, t in enumerate(texts)]), "k").collect()}
+    assert all(n == 1 for _, n in got.values())
+    (upper,) = re.findall(r'^TOKEN = "([0-9A-F]{16})"$', got[0][0])
+    assert upper != "9233A8EC41D05B7F" and got[2][0] == f'token = "{upper}"'
+    assert re.fullmatch(r"Password: [A-Z][a-z]{5}\d[A-Z][a-z]{5}\d", got[1][0]) and "Hunter" not in got[1][0]
+    assert re.fullmatch(r"Api_Key=[0-9a-f]{12}", got[3][0]) and got[3][0] != texts[3]
+
+
 def test_surrogates_stay_distinct(spark):
     people = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("he:N"), "id").alias("entity"))
     got = pii.assign(people.unionByName(spark.range(150).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))), "k")
