@@ -45,8 +45,7 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         repeats = sum(map(eq, words, words[1:])) / w
         odd = count(_SYMBOLS) / n
         again = line in seen and n_all > 0
-        if len(seen) < 4096:
-            seen.add(line)
+        seen.add(line)
         own.append((
             1.0, math.log1p(n_all) / 5, upper / (upper + lower + 1), odd * 4, count(_DIGITS) / n, min((n_all - count(_SPACE)) / w, 60.0) / 10,
             rich, min(repeats * 4, 2.0), float(again), float(line[-1:] in (b".", b"!", b"?")), float(odd > 0.08), float(rich < 0.75),

@@ -237,6 +237,12 @@ def test_quality(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def test_lines_are_remembered_in_long_texts():
+    lines = [b"line %d" % k for k in range(6000)]
+    x, _ = quality.line_features(b"\n".join(lines + lines[5000:]))
+    assert not x[:6000, 8].any() and x[6000:, 8].all()
+
+
 def test_toxicity(spark):
     d, labels, marks = labelled(spark)
     model = toxicity.fit(d, labels)
