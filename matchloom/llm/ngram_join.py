@@ -1,20 +1,25 @@
 """Near-duplicate documents by a grouped prefix join on word shingles.
 
-Every document becomes a set of hashed shingles.  All sets are ordered by one
-global order, rare shingles first, and two sets of Jaccard similarity ``t`` or
-more share a shingle among the first ``n - ceil(t n) + 1`` of each (the
-prefix).  Documents with identical prefixes and sizes form one group, which
-posts its prefix once; equal sets form one class.
-
-Candidates are filtered on groups before members are looked at.  A class is
-first compared with one leader, the smallest class of most of its posting
-lists; classes within the distance bound of their leader form a star.  Stars
-that share prefix shingles are then compared by their centres.  Jaccard
-distance is a metric, so centres further apart than the bound plus both radii
-rule out every pair of members; only the other star pairs are expanded, and
-their members verified.  A group of copies of any size thus costs one
-comparison per class, and no link between different texts is lost except
-within a star, whose classes are connected already.
+Every document becomes a set of hashed shingles; equal sets form one class.
+All sets are ordered by one global order, rare shingles first, and two sets of
+Jaccard similarity ``t`` or more share a shingle among the first
+``n - ceil(t n) + 1`` of each (the prefix).  Classes with identical prefixes
+and sizes form one group, which posts its prefix once.
+
+Group pairs are filtered before members are looked at.  Sets of sizes ``n``
+and ``m`` that link share at least ``need = ceil(t (n + m) / (1 + t))``
+shingles, so each misses few of the other's, and for any ``l`` their first
+``l`` common shingles stand among the first ``n - need + l`` and
+``m - need + l``.  A group pair survives if it shares ``l`` shingles there.
+Survivors are expanded to their classes, whose whole sets are compared.
+
+Members of a large group of near copies would all survive with each other.
+Therefore each posting list first compares its groups with one leader per size
+band, and each group its classes with its first one.  What these links join is
+one part.  The second step takes all other pairs: within a list, those of
+groups in different parts, where only the rows outside the list's largest part
+look for partners.  A pair within a part cannot change the result, so no link
+is lost, and copies cost one comparison each instead of all pairs.
 
 The order puts shingles that occur often last.  Occurrences are counted for
 all shingles of all documents, in a space of 2**32 values; any global order
@@ -28,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import cut, gram_hashes, id_bitmap, maybe_members, mix64, shuffle_parts, slices, text_bytes, without_ids, word_hashes
@@ -39,10 +44,8 @@ THRESHOLD = Fraction(3, 4)
 FREQUENT = 32
 #: Edges that one task can hold with ease.
 EDGES_PER_PARTITION = 100_000
-#: Members of a star that are compared in one row.
-BLOCK = 32
-#: Leaders that a class is compared with if the first was too far from it.
-OTHER_LEADERS = 6
+#: Posting lists of shingles seen more than FREQUENT * 2**SALT_FROM times are dealt over several tasks.
+SALT_FROM = 10
 #: The table of frequent shingles is broadcast; the bound on its rows is kept by raising FREQUENT in steps of two.
 FREQUENT_ROWS = 1 << 21
 
@@ -74,11 +77,10 @@ def prefix_length(n: int) -> int:
     return n - -(-n * THRESHOLD.numerator // THRESHOLD.denominator) + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
-    """Whether two ascending sets link, and their Jaccard distance."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - both
-    return both * THRESHOLD.denominator >= THRESHOLD.numerator * union, 1.0 - both / union
+    return both * THRESHOLD.denominator >= THRESHOLD.numerator * (len(a) + len(b) - both)
 
 
 def _set_keys(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +92,13 @@ def _set_keys(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
 # --- how often shingles occur --------------------------------------------------------
 
 
-def _pack(sorted_values: np.ndarray) -> bytes:
-    """Differences of ascending 32-bit values, byte plane by byte plane (the high planes are near zero and compress away)."""
-    return np.diff(sorted_values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """32-bit values, byte plane by byte plane (the high planes are near zero and compress away)."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    return np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def frequent_shingles(rows: DataFrame, k: int, least: int, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +110,12 @@ def frequent_shingles(rows: DataFrame, k: int, least: int, most_rows: int) -> tu
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            v = np.sort(np.concatenate(held))
+            v, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             part, at = np.unique(v >> shift, return_index=True)
-            blobs = [_pack(x) for x in np.split(v, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            values = [_pack(np.diff(x, prepend=np.uint32(0))) for x in np.split(v, at[1:])]
+            counts = [_pack(x) for x in np.split(n, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], ["part", "values", "counts"])
 
         for b in slices(batches, 0):
             values, _ = shingle_sets(text_bytes(b.column(0)), k)
@@ -124,13 +127,19 @@ def frequent_shingles(rows: DataFrame, k: int, least: int, most_rows: int) -> tu
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One range of the 2**32 values; ranges grow in number with the shuffle partitions.
-        v = np.sort(np.concatenate([_unpack(x) for b in batches for x in b.column(1).to_pylist()] or [np.zeros(0, np.uint32)]))
-        edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]])) if len(v) else np.zeros(1, int)
-        n = np.diff(edge)
+        values, counts = [], []
+        for b in batches:
+            values += [np.cumsum(_unpack(x), dtype=np.uint32) for x in b.column(1).to_pylist()]
+            counts += [_unpack(x) for x in b.column(2).to_pylist()]
+        v = np.concatenate(values)
+        order = np.argsort(v, kind="stable")
+        v, n = v[order], np.concatenate(counts)[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        n = np.add.reduceat(n, first)
         big = n >= least
-        yield pa.RecordBatch.from_arrays([pa.array(v[edge[:-1]][big].astype(np.int64)), pa.array(np.floor(np.log2(n[big] / least)).astype(np.int32) + 1)], ["value", "level"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[first][big].astype(np.int64)), pa.array(np.floor(np.log2(n[big] / least)).astype(np.int32) + 1)], ["value", "level"])
 
-    blobs = rows.mapInArrow(collect, "part int, blob binary")
+    blobs = rows.mapInArrow(collect, "part int, values binary, counts binary")
     found = cut(blobs.groupBy("part").applyInArrow(count, "value long, level int"))
     kept, lowest = 0, 0
     for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():
@@ -148,7 +157,7 @@ def frequent_shingles(rows: DataFrame, k: int, least: int, most_rows: int) -> tu
 
 
 def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: id, set size, set hashes, group (hash of prefix and size) and the prefix, once per group and task."""
+    """Per row: id, set size, set hashes, group (hash of prefix and size) and the prefix with the levels of its shingles, once per group and task."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,29 +168,114 @@ def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray])
             values, start = shingle_sets(texts, k)
             k1, k2 = _set_keys(values, start)
             n = np.diff(start)
-            rank = np.zeros(len(values), np.uint8)
+            rank = np.zeros(len(values), np.int8)
             if len(value):
                 low = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 at = np.minimum(np.searchsorted(value, low), len(value) - 1)
-                rank = np.where(value[at] == low, level[at], 0).astype(np.uint8)
+                rank = np.where(value[at] == low, level[at], 0).astype(np.int8)
             owner = np.repeat(np.arange(len(texts)), n)
             order = np.lexsort((values, rank, owner))
-            ordered = values[order]
-            groups, prefixes, named = [], [], np.asarray(b.column(0).is_valid())
+            ordered, ranks = values[order], rank[order]
+            groups, prefixes, levels, named = [], [], [], np.asarray(b.column(0).is_valid())
             for i in range(len(texts)):
-                p = ordered[start[i] : start[i] + prefix_length(int(n[i]))] if n[i] else ordered[:0]
+                top = slice(start[i], start[i] + prefix_length(int(n[i])) if n[i] else start[i])
+                p = ordered[top]
                 g = int(np.bitwise_xor.reduce(mix64(p))) ^ int(n[i]) * 0x9E3779B97F4A7C15 % 2**64 if len(p) else None
                 g = g - 2**64 if g is not None and g >= 2**63 else g
+                new = g is not None and named[i] and g not in posted
                 groups.append(g)
-                prefixes.append(p.view(np.int64) if g is not None and named[i] and g not in posted else None)
-                if g is not None and named[i] and len(posted) < 500_000:
+                prefixes.append(p.view(np.int64) if new else None)
+                levels.append(ranks[top] if new else None)
+                if new and len(posted) < 500_000:
                     posted.add(g)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["id", "n", "k1", "k2", "g", "prefix"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.int8()))],
+                ["id", "n", "k1", "k2", "g", "prefix", "levels"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, g long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, g long, prefix array<long>, levels array<tinyint>")
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    """Size bands: sets of one band differ in size by an eighth at most."""
+    return np.floor(np.log(n) / np.log(1.125)).astype(np.int64)
+
+
+def _lists(sets: DataFrame) -> DataFrame:
+    """Posting lists of several groups: (token, g, n, pos) with ``lead``, the leader of the group's size band, or for a leader that of the band before.
+
+    Lists are streamed in sorted order; a task holds one leader at a time.  Long lists are dealt over tasks, each with leaders of its own.
+    """
+    posted = sets.filter("prefix is not null and id is not null")
+    posts = posted.select("g", "n", F.posexplode(F.arrays_zip("prefix", "levels")).alias("pos", "p")).select(F.col("p.prefix").alias("token"), "g", "n", "pos", F.col("p.levels").alias("level"))
+    dealt = F.call_function("shiftleft", F.lit(1), F.greatest(F.col("level").cast("int") - SALT_FROM, F.lit(0)))
+    salt = F.when(dealt > 1, F.pmod(F.xxhash64("token", "g"), dealt)).otherwise(-1)  # -1: the list is whole
+    posts = posts.select("token", salt.cast("int").alias("salt"), "g", "n", "pos")
+    parts = shuffle_parts(sets.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "salt", "g", "n", "pos"]
+        held = {c: np.zeros(0, np.int64) for c in names}  # the last row seen, not returned yet if ``alone``
+        alone, lead = True, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(held["g"])
+            x = {c: np.concatenate([held[c], np.asarray(batch.column(i)).astype(np.int64)]) for i, c in enumerate(names)}
+            same = (x["token"][1:] == x["token"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
+            fresh = np.concatenate([[True], ~(same & (x["g"][1:] == x["g"][:-1]))])  # several tasks may post one group
+            x = {c: v[fresh] for c, v in x.items()}
+            size = len(x["g"])
+            start = np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["salt"][1:] != x["salt"][:-1])])
+            band = _bands(x["n"])
+            top = start | np.concatenate([[True], band[1:] != band[:-1]])
+            top_at = np.flatnonzero(top)
+            mine = top_at[np.cumsum(top) - 1]  # row of the leader of each row's band
+            before = np.concatenate([[0], top_at[:-1]])
+            leader = np.where(top, 0, x["g"][mine])
+            leader[top_at] = x["g"][before]
+            has = ~start
+            if old and not alone:  # the first row belongs to a list that goes on, and its leader was seen earlier
+                in_band = mine == 0
+                leader[in_band] = lead
+                has[in_band & (np.arange(size) > 0)] = True
+                if len(top_at) > 1:
+                    leader[top_at[1]] = lead
+            run_id = np.cumsum(start) - 1
+            several = (np.bincount(run_id)[run_id] > 1) | (x["salt"] >= 0)
+            if old and not alone:
+                several |= run_id == 0
+            out = several.copy()
+            if old and not alone:
+                out[0] = False  # returned before
+            last_several = bool(several[-1])
+            if out.any():
+                at = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[c][at]) for c in ("token", "g", "n", "pos")] + [pa.array(leader[at], mask=~has[at])], ["token", "g", "n", "pos", "lead"]
+                )
+            lead = lead if old and not alone and mine[-1] == 0 else int(x["g"][mine[-1]])
+            alone = not last_several
+            held = {c: v[-1:] for c, v in x.items()}
+
+    sorted_posts = posts.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.125)))), "g")
+    return sorted_posts.mapInArrow(run, "token long, g long, n long, pos long, lead long")
+
+
+def _need(n: Column, m: Column) -> Column:
+    """Shingles that two linked sets of these sizes share at least."""
+    t = THRESHOLD.numerator, THRESHOLD.numerator + THRESHOLD.denominator
+    return F.floor(((n + m) * t[0] + (t[1] - 1)) / t[1])
+
+
+def _least(n: Column, m: Column) -> Column:
+    """How many of their first common shingles a pair is filtered by (``l`` above): about one in fifty, as many as both prefixes allow."""
+    spare = lambda x: _need(n, m) - F.ceil(x * THRESHOLD.numerator / THRESHOLD.denominator) + 1
+    return F.least(F.floor((n + m) / 50) + 1, spare(n), spare(m))
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return (n * THRESHOLD.denominator >= m * THRESHOLD.numerator) & (m * THRESHOLD.denominator >= n * THRESHOLD.numerator)
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -200,34 +294,32 @@ def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> Dat
     return found.join(wanted.hint("shuffle_hash"), ["c", "k1", "k2"], "left_semi").dropDuplicates(["c", "k1", "k2"]).select("c", "tokens")
 
 
-def _compared(both: DataFrame) -> DataFrame:
-    """Rows (a, b, ta, tb) with ``linked`` and ``distance`` in place of the sets, one per pair."""
+def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole sets link."""
+    found = cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), classes, rows, k))
+    # The set of b is sent to a, whose own set is joined where it is compared; many partners of one a can be split.
+    one = pairs.join(found.select(F.col("c").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b").select("a", "b", "tb")
+    both = one.join(found.select(F.col("c").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
-            linked, distance = zip(*got) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"])
+            linked = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    out = both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, distance double")
-    return cut(out.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")))
+    return cut(both.mapInArrow(compare, "a long, b long"))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked`` and ``distance``."""
-    found = _sets(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))), classes, rows, k)
-    both = pairs.select("a", "b").join(found.select(F.col("c").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(found.select(F.col("c").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    return _compared(both)
-
+def _across(rows: DataFrame, key: str, node: str, kept: list[str], fits: Column) -> DataFrame:
+    """Pairs (x, y) of ``node`` in one list (``key``) whose ``part`` differs and that ``fits`` accepts (over ``kept`` and the same names with 2).
 
-def _leaders(units: DataFrame, prefix: Column, priorities: list[Column], weight: Column, only: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b): for each priority the class a that comes first in most posting lists of class b by ``weight``, if in enough of them."""
-    first = units.groupBy("token").agg(*[F.min(F.struct(p.alias("p"), F.col("c").alias("a"))).alias(f"m{i}") for i, p in enumerate(priorities)])
-    rows = units if only is None else units.join(only.hint("merge"), "c", "left_semi")
-    seen = rows.join(first.hint("merge"), "token").select("c", "n", weight.alias("w"), F.posexplode(F.array(*[F.col(f"m{i}.a") for i in range(len(priorities))])).alias("i", "a"))
-    votes = seen.filter("a <> c").groupBy("i", "a", "c", "n").agg(F.sum("w").alias("votes")).filter(F.col("votes") >= 0.3 * prefix)
-    best = votes.groupBy("i", "c").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
-    return best.select("a", F.col("c").alias("b")).distinct()
+    Each list's largest part only answers; the others' rows look for partners among all.
+    """
+    held = rows.groupBy(key, "part").agg(F.count("*").alias("m")).groupBy(key).agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("kinds"))
+    mixed = cut(rows.join(held.filter("kinds > 1").drop("kinds").hint("merge"), key))
+    right = mixed.select(key, *[F.col(c).alias(f"{c}2") for c in (node, "part", *kept)], (F.col("part") == F.col("main")).alias("in_main"))
+    met = mixed.filter("part <> main").join(right.hint("merge"), key)
+    other = F.col("in_main") | (F.col(node) < F.col(f"{node}2"))
+    return met.filter((F.col("part") != F.col("part2")) & other & fits)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -263,100 +355,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``component_id`` is the smallest identifier reachable by links of Jaccard
     similarity 0.75 or more, the document itself included.  Fewer than ``k``
-    words make one shingle; empty and null texts have none and link to
-    nothing.  Rows without identifier have no component and link to nothing.
-    Rows that share an identifier are one node.  Other columns are ignored; an
-    empty table gives an empty result.
+    words make one shingle; empty and null texts have none, link to nothing
+    and keep their own identifier.  Rows without identifier have no component
+    and link to nothing.  Rows with shingles that share an identifier are one
+    node.  Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     frequent = frequent_shingles(rows.select("text"), k, FREQUENT, FREQUENT_ROWS)
     sets = cut(_prefixes(rows, k, frequent))
     known = sets.filter("id is not null and n > 0")
     classes = cut(known.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("c")))
-
-    # Posting lists of groups; lists of one group only matter if the group has several classes.
-    posts = sets.filter("prefix is not null and id is not null").select("g", F.explode("prefix").alias("token"))
-    one_list = Window.partitionBy("token")
-    lists = posts.withColumn("lo", F.min("g").over(one_list)).withColumn("hi", F.max("g").over(one_list)).filter("lo <> hi").select("token", "g").distinct()
-    many = classes.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    members = classes.select("g", "c", "n")
-    # A group's own list stands for its whole prefix, which all its classes share.
-    prefix: Column = F.col("n") - F.ceil(F.col("n") * float(THRESHOLD)) + 1
-    units = lists.join(members.hint("merge"), "g").select("token", "c", "n", F.lit(1).cast("long").alias("w"))
-    units = cut(units.unionByName(members.join(many.hint("merge"), "g", "left_semi").select(F.col("g").alias("token"), "c", "n", prefix.cast("long").alias("w"))))
-
-    # Stars: each class against a leader, the smallest class of most of its lists; then the rest against some others.
-    same_group = members.join(many.hint("merge"), "g", "left_semi")
-    first = same_group.groupBy("g").agg(F.min("c").alias("a"))
-    in_group = same_group.join(first.hint("merge"), "g").filter("a <> c").select("a", F.col("c").alias("b"))
-    offers = _leaders(units, prefix, [F.col("c")], F.lit(1))
-    tried = _verify(cut(offers.unionByName(in_group).distinct()), classes, rows, k)
-    linked = tried.filter("linked").select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    loose = units.join(linked.hint("merge"), "c", "left_anti").select("c").distinct()
-    more = _leaders(units, prefix, [F.xxhash64("c", F.lit(i)) for i in range(OTHER_LEADERS)], F.col("w"), loose)
-    again = _verify(cut(more.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti").distinct()), classes, rows, k)
-    links = tried.filter("linked").select("a", "b", "distance").unionByName(again.filter("linked").select("a", "b", "distance"))
-    led = links.select(F.col("b").alias("a")).distinct()
-    stars = cut(links.join(led.hint("merge"), "a", "left_anti").groupBy("b").agg(F.min_by(F.struct("a", "distance"), F.struct("distance", "a")).alias("s")).select(F.col("b").alias("c"), F.col("s.a").alias("star"), F.col("s.distance").alias("r")))
-    known_parts = cut(components(links.select("a", "b")))
-
-    # Star pairs that share prefix shingles: enough of them for some pair of members to link.
-    placed = units.join(stars.hint("merge"), "c", "left").join(known_parts.hint("merge"), "c", "left")
-    placed = cut(placed.select("token", "w", "c", "n", F.coalesce("star", "c").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("component", "c").alias("part")))
-    shape = placed.groupBy("star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("radius"))
-    # Only stars of different parts can bring a new connection: lists within one part go, and parts are paired before stars.
-    parts = placed.select("token", "part").distinct()
-    several = parts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    parts = cut(parts.join(several.hint("merge"), "token", "left_semi"))
-    seats = cut(placed.join(several.hint("merge"), "token", "left_semi").select("token", "w", "star", "part").distinct().join(shape.hint("merge"), "star"))
-    t = float(THRESHOLD)
-    met = parts.join(parts.select("token", F.col("part").alias("part2")).hint("merge"), "token").filter("part < part2")
-    right = seats.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "part", "low", "high", "radius")])
-    fits = (F.col("low") * t <= F.col("high2")) & (F.col("low2") * t <= F.col("high"))
-    faced = met.join(seats.hint("merge"), ["token", "part"]).join(right.hint("merge"), ["token", "part2"]).filter(fits)
-    counted = faced.groupBy("star", "star2", "low", "high", "radius", "low2", "high2", "radius2").agg(F.sum("w").alias("shared"))
-    least = (F.col("low") + F.col("low2")) * (t / (1 + t)) - F.greatest("high", "high2") * t - 0.01
-    pairs = cut(counted.filter(F.col("shared") >= least).select(F.col("star").alias("a"), F.col("star2").alias("b"), "radius", "radius2"))
-    centre = _verify(pairs, classes, rows, k)
-
-    # Where the triangle inequality leaves room, the members: those of the larger star are sent once, those of the smaller meet them there.
-    slack = 1 - t + 1e-9
-    near = centre.filter("not linked").join(pairs.filter("radius + radius2 > 0").hint("merge"), ["a", "b"]).filter(F.col("distance") <= F.col("radius") + F.col("radius2") + slack)
-    near = cut(near.select("a", "b", "distance"))
-    if near.isEmpty():
-        last = centre.limit(0)
-    else:
-        crew = placed.select("star", "c", "n", "r").distinct()
-        heads = crew.groupBy("star").agg(F.count("*").alias("m"))
-        sized = near.join(heads.select(F.col("star").alias("a"), F.col("m").alias("ma")).hint("merge"), "a").join(heads.select(F.col("star").alias("b"), F.col("m").alias("mb")).hint("merge"), "b")
-        larger = F.col("ma") >= F.col("mb")
-        sized = sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), "distance")
-        crew = cut(crew.join(sized.select(F.explode(F.array("big", "small")).alias("star")).distinct().hint("merge"), "star", "left_semi"))
-        tokens = _sets(crew.select("c"), classes, rows, k)
-        manned = crew.join(tokens.hint("merge"), "c")
-        blocks = F.ceil(F.col("m") / BLOCK)
-        left = manned.join(heads.hint("merge"), "star").groupBy(F.col("star").alias("big"), F.pmod(F.xxhash64("c"), blocks).alias("block")).agg(F.collect_list(F.struct("c", "n", "r", "tokens")).alias("crew"))
-        right = sized.join(manned.select(F.col("star").alias("small"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("tokens").alias("tb")).hint("merge"), "small")
-        met = left.join(right.hint("merge"), "big").select("crew", "b", "nb", "rb", "tb", "distance")
-
-        def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for i in range(batch.num_rows):
-                    block, b, nb, rb, tb, far = (batch.column(j)[i].as_py() for j in range(6))
-                    mine = np.frombuffer(tb, np.uint64)
-                    for x in block:
-                        if far <= x["r"] + rb + slack and x["n"] * t <= nb and nb * t <= x["n"] and similar(np.frombuffer(x["tokens"], np.uint64), mine)[0]:
-                            out.append((x["c"], b))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-        last = cut(met.mapInArrow(link, "a long, b long").withColumn("linked", F.lit(True)))
-
-    edges = links.select("a", "b").unionByName(centre.filter("linked").select("a", "b")).unionByName(last.filter("linked").select("a", "b"))
-    roots = components(edges)
-    named = classes.join(roots.hint("merge"), "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component"))
-    out = sets.select("id", "n", "k1", "k2").join(named.hint("merge"), ["k1", "k2", "n"], "left")
-    per_id = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
+    lists = cut(_lists(sets))
+    placed = cut(sets.select("id", "n", "k1", "k2").join(classes.drop("g").hint("merge"), ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("c")).alias("c")))
+    # Documents of one identifier with several texts tie their classes together.
+    twice = placed.filter("c is not null").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z")
+    same_id = cut(placed.join(twice.hint("merge"), "id").filter("a < c").select("a", F.col("c").alias("b")).distinct())
+
+    # First step: groups against the leaders of their lists, classes against the first of their group.
+    heads = classes.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("z"), F.min("n").alias("m"))
+    led = lists.filter("lead is not null").groupBy("lead", "g").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    led = led.join(heads.select(F.col("g").alias("lead"), F.col("c").alias("a"), "m").hint("merge"), "lead").filter(_sizes_fit(F.col("n"), F.col("m")) & (F.col("shared") >= _least(F.col("n"), F.col("m"))))
+    led = led.join(heads.select("g", F.col("c").alias("b")).hint("merge"), "g").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    in_group = classes.select("g", F.col("c").alias("b")).join(heads.filter("c < z").select("g", F.col("c").alias("a")).hint("merge"), "g").select("a", "b")
+    tried = cut(led.unionByName(in_group).filter("a < b").distinct())
+    links = _verify(tried, classes, rows, k).unionByName(same_id)
+    parts = cut(components(links))
+
+    # Second step: all pairs across parts.
+    crew = cut(classes.select("c", "g", "n").join(parts.hint("merge"), "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("part")))
+    label = F.when(F.min("part") == F.max("part"), F.min("part")).otherwise(F.bitwise_not(F.col("g")))  # a group of several parts differs from all
+    groups = crew.groupBy("g").agg(label.alias("part"), (F.min("part") < F.max("part")).alias("torn"))
+    n, m = F.col("n"), F.col("n2")
+    first = lambda pos, size: F.col(pos) < size - _need(n, m) + _least(n, m)
+    met = _across(lists.drop("lead").join(groups.select("g", "part").hint("merge"), "g"), "token", "g", ["n", "pos"], _sizes_fit(n, m) & first("pos", n) & first("pos2", m))
+    # Which of two groups looks for the other depends on the list, so both orders count together.
+    pairs = met.groupBy(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2"), _least(n, m).alias("least")).agg(F.count("*").alias("shared")).filter("shared >= least").select("g", "g2")
+    expanded = pairs.join(crew.select("g", F.col("c").alias("a"), F.col("part").alias("pa")).hint("merge"), "g").join(crew.select(F.col("g").alias("g2"), F.col("c").alias("b"), F.col("part").alias("pb")).hint("merge"), "g2").filter("pa <> pb").select("a", "b")
+    torn = _across(crew.join(groups.filter("torn").select("g").hint("merge"), "g", "left_semi"), "g", "c", ["n"], F.lit(True)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    rest = expanded.unionByName(torn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = _verify(cut(rest.join(tried.hint("merge"), ["a", "b"], "left_anti")), classes, rows, k)
+
+    roots = components(parts.select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(late))
+    out = placed.join(roots.hint("merge"), "c", "left")
+    per_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "c", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), per_id.alias("component_id"))
 
 

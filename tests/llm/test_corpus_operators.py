@@ -132,11 +132,11 @@ def test_pivot_keeps_the_sum():
 # --- near duplicates ------------------------------------------------------------------------
 
 
-def brute_components(rows):
+def brute_components(rows, size=5):
     sets = {}
     for i, t, _ in rows:
         w = WORDS.findall((t or "").encode().translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
     root = {i: i for i in sets}
 
     def find(a):
@@ -192,6 +192,57 @@ def test_near_duplicates_within_one_prefix_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("size", [1, 5])
+def test_near_duplicates_in_a_group_whose_first_class_is_far(spark, size):
+    """Documents 1, 2, 3 of each family begin with one rare passage that fills their prefixes; 2 and 3 link, 1 with neither."""
+    rng, rows = random.Random(11), []
+    common = [f"c{k}" for k in range(400)]
+    for family in range(4):
+        head = [f"h{family}x{j}" for j in range(26 + size - 1)]
+        far, near = rng.sample(common, 78 - size), rng.sample(common, 78 - size)
+        other = near[:-6] + [w for w in common if w not in near][:6]
+        rows += [(10 * family + k, " ".join(head + tail), None) for k, tail in enumerate((far, near, other), 1)]
+    # every other shingle is frequent in texts of its own
+    for i, t, _ in list(rows):
+        w = t.split()[25:]
+        rows += [(1000 + 1000 * i + 50 * j + k, " ".join(w[j : j + size + 8] + [f"own{i}x{j}x{k}x{q}" for q in range(20)]), None) for j in range(0, len(w), 9) for k in range(40)]
+    rng.shuffle(rows)
+    want = brute_components(rows, size)
+    assert want[1][1] == 1 and want[3][1] == 2
+    got = ngram_join.near_duplicates(docs(spark, rows), k=size).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+@pytest.mark.parametrize("salt_from", [0, 10])
+def test_near_duplicates_across_parts_of_long_lists(spark, monkeypatch, salt_from):
+    """Many near copies, near copies of near copies, stragglers that share a passage, and lists dealt over several tasks."""
+    rng = random.Random(12)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    monkeypatch.setattr(ngram_join, "SALT_FROM", salt_from)
+    words, passage = [f"v{k}" for k in range(3000)], [f"p{k}" for k in range(60)]
+    texts = []
+    for _ in range(3):
+        chain = rng.choices(words, k=90)
+        for _ in range(60):
+            chain = list(chain)
+            for _ in range(rng.randint(0, 3)):
+                chain[rng.randrange(90)] = rng.choice(words)
+            texts.append(chain)
+            if rng.random() < 0.5:
+                chain = texts[-rng.randint(1, min(9, len(texts)))]
+    texts += [rng.choices(words, k=rng.randint(1, 60)) + passage for _ in range(120)]
+    rows = [(i, " ".join(t), None) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = ngram_join.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_near_duplicates_with_shared_identifiers(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue white black brown")
+    got = ngram_join.near_duplicates(docs(spark, [(1, a, None), (7, a, None), (7, b, None), (9, b, None), (4, c, None), (9, "", None)])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 3, 1), (4, 2, 4), (7, 2, 1), (7, 3, 1), (9, 0, 9), (9, 2, 1)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     t = "a b c d e f g h"
