@@ -9,10 +9,7 @@ from matchloom.streaming import flows
 
 @pytest.fixture
 def shared(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    yield str(tmp_path)
-    spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    return str(tmp_path)
 
 
 def as_stream(spark, folder, *batches):
