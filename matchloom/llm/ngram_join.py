@@ -204,7 +204,9 @@ def _bands(n: np.ndarray) -> np.ndarray:
 def _lists(sets: DataFrame) -> DataFrame:
     """Posting lists of several groups: (token, g, n, pos) with ``lead``, the leader of the group's size band, or for a leader that of the band before.
 
-    Lists are streamed in sorted order; a task holds one leader at a time.  Long lists are dealt over tasks, each with leaders of its own.
+    A band is led by the group with the fewest rarer shingles ahead of the list's own: the original of a
+    group of edited copies has none of their edits.  Lists are streamed in sorted order; a task holds one
+    leader at a time.  Long lists are dealt over tasks, each with leaders of its own.
     """
     posted = sets.filter("prefix is not null and id is not null")
     posts = posted.select("g", "n", F.posexplode(F.arrays_zip("prefix", "levels")).alias("pos", "p")).select(F.col("p.prefix").alias("token"), "g", "n", "pos", F.col("p.levels").alias("level"))
@@ -258,7 +260,7 @@ def _lists(sets: DataFrame) -> DataFrame:
             alone = not last_several
             held = {c: v[-1:] for c, v in x.items()}
 
-    sorted_posts = posts.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.125)))), "g")
+    sorted_posts = posts.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.125)))), "pos", "g")
     return sorted_posts.mapInArrow(run, "token long, g long, n long, pos long, lead long")
 
 
@@ -269,9 +271,9 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def _least(n: Column, m: Column) -> Column:
-    """How many of their first common shingles a pair is filtered by (``l`` above): about one in fifty, as many as both prefixes allow."""
+    """How many of their first common shingles a pair is filtered by (``l`` above): about one in a hundred, as many as both prefixes allow."""
     spare = lambda x: _need(n, m) - F.ceil(x * THRESHOLD.numerator / THRESHOLD.denominator) + 1
-    return F.least(F.floor((n + m) / 50) + 1, spare(n), spare(m))
+    return F.least(F.floor((n + m) / 200) + 1, spare(n), spare(m))
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
