@@ -20,10 +20,13 @@ ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a private one only where none is set (tests)."""
+    """Use the shared folder the session names; on one machine, where none is set (tests), a private one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="matchloom-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

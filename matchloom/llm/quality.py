@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import LOWER, UPPER, extended, held_out, id_sample, slices, text_bytes
+from matchloom.llm.common import LOWER, UPPER, extended, held_out, id_sample, mix64, slices, text_bytes
 from matchloom.llm.crf import ChainCRF
 
 _DIGITS = b"0123456789"
@@ -58,10 +58,12 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([len(line) + 1.0 for line in lines])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000, max_lines: int = 200, l2: float = 1.0) -> ChainCRF | None:
-    """Train on at most ``max_docs`` labelled documents that are not held out (lowest hash of the id), the first ``max_lines`` lines of each.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000, max_pieces: int = 4, piece: int = 50, l2: float = 1.0) -> ChainCRF | None:
+    """Train on at most ``max_docs`` labelled documents that are not held out (lowest hash of the id).
 
-    The bounded sample's features are gathered on the driver.  None if no labels are given.
+    Features are made from whole texts, then cut into pieces of ``piece``
+    lines; at most ``max_pieces`` of a document, drawn by a hash from its whole
+    length, are gathered on the driver.  None if no labels are given.
     """
     sample = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
     sample = id_sample(sample, "__id", max_docs)
@@ -69,16 +71,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            x = [line_features(t)[0][:max_lines].astype(np.float32) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(v) for v in x], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "n", "x"])
-
-    got = rows.select("__id", "__t", "__y").mapInArrow(features, T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("y", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("id")
+            drawn, sizes = [], []
+            for t in text_bytes(b.column(1)):
+                x = line_features(t)[0].astype(np.float32)
+                start = np.arange(0, len(x), piece)
+                start = np.sort(start[np.argsort(mix64(start.astype(np.uint64) + np.uint64(len(t))), kind="stable")[:max_pieces]])
+                drawn.append(b"".join(x[a : a + piece].tobytes() for a in start))
+                sizes.append([min(piece, len(x) - a) for a in start])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(drawn, pa.binary())], ["id", "y", "n", "x"])
+
+    fields = [T.StructField("id", docs.schema[doc_id].dataType), T.StructField("y", T.IntegerType()), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("x", T.BinaryType())]
+    got = rows.select("__id", "__t", "__y").mapInArrow(features, T.StructType(fields)).toArrow().sort_by("id")
     if not got.num_rows:
         return None
-    lengths = got.column("n").to_numpy().astype(np.int64)
+    sizes = got.column("n").to_pylist()
+    lengths = np.array([n for own in sizes for n in own], np.int64)
+    lines = np.array([sum(own) for own in sizes], np.int64)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
-    y = np.repeat(got.column("y").to_numpy(), lengths).astype(float)
-    return ChainCRF.fit(x, lengths, y, l2=l2, row_weight=1.0 / np.sqrt(lengths))
+    y = np.repeat(got.column("y").to_numpy(), lines).astype(float)
+    return ChainCRF.fit(x, lengths, y, l2=l2, row_weight=np.repeat(1.0 / np.sqrt(lines), [len(own) for own in sizes]))
 
 
 def document_score(model: ChainCRF | None, text: bytes) -> tuple[float, int, int]:
@@ -93,7 +104,9 @@ def document_score(model: ChainCRF | None, text: bytes) -> tuple[float, int, int
 def score(docs: DataFrame, model: ChainCRF | None, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``n_lines`` and ``bad_lines`` added; columns of these names are replaced.
 
-    Null text counts as empty; without a model every score is 0.5.  No shuffle.
+    Null text counts as empty, which is one empty line; without a model every
+    score is 0.5.  Each row is scored by its whole text alone, so repeated rows
+    score alike; an empty table gives an empty result.  No shuffle.
     """
     added = (("score", T.DoubleType()), ("n_lines", T.IntegerType()), ("bad_lines", T.IntegerType()))
     base = docs.drop(*[n for n, _ in added])
