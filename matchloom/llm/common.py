@@ -63,6 +63,14 @@ def extended(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructT
     return T.StructType([f for f in schema.fields if f.name not in names] + [T.StructField(n, t) for n, t in fields])
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it until no column in ``taken`` has it in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null counts as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

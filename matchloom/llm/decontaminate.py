@@ -87,7 +87,7 @@ def _window_rows(b_ids: pa.Array, texts: list[bytes], lengths: Iterable[int], wa
     take, hs, ats, ks, ns, slot_rows = [], [], [], [], [], []
     for k, g, row, at, slots, first in windows(texts, lengths):
         size = np.diff(first)
-        hit = np.ones(len(g), bool)
+        hit = np.ones(len(g), bool) if k >= SHORTEST else size[row] == k  # the shortest items match whole texts only
         if only_own:  # a benchmark item has windows of K tokens, or one of its own length if it is shorter
             hit = np.minimum(size[row], K) == k
         if wanted is not None:
@@ -136,13 +136,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     A pair is reported if windows with consistent placeholders cover at least
     ``share`` of the item's windows, or ``run`` windows.  Items of fewer than
     ``K`` template tokens have one window, of all their tokens; below
-    ``SHORTEST`` tokens an item matches nothing.  Null texts count as empty;
-    repeated rows of an identifier are one document; rows without an
-    identifier are reported under null.  Empty tables give no pairs.
+    ``SHORTEST`` tokens an item matches documents that consist of it alone.
+    Null texts count as empty, and empty items match nothing; repeated rows of
+    an identifier are one document; rows without an identifier are reported
+    under null.  Other columns are ignored.  Empty tables give no pairs.
     """
     from matchloom.llm.common import id_bitmap
 
-    items = cut(_hashed(benchmark, item_id, item_text, list(range(SHORTEST, K + 1)), None, True).distinct())
+    items = cut(_hashed(benchmark, item_id, item_text, list(range(1, K + 1)), None, True).distinct())
     wanted = id_bitmap(items.select("h"), BITS)
     lengths = sorted({min(r[0], K) for r in items.select(F.least("n", F.lit(K)).alias("k")).distinct().collect()}) or [K]
     found = _hashed(docs, doc_id, text, lengths, wanted, False).select(F.col("id").alias("doc_id"), "h", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
@@ -159,7 +160,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """``docs`` without the documents that :func:`contaminated` reports."""
+    """``docs`` without the documents that :func:`contaminated` reports.
+
+    All columns stay, whatever their names.  Null and empty texts stay, and so
+    do rows without an identifier; repeated rows of one identifier go or stay
+    together.  An empty table, or an empty benchmark, changes nothing.
+    """
     return without_ids(docs, cut(contaminated(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(doc_id)).distinct()), doc_id)
 
 

@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchloom.llm.common import ASCII_LOWER, extended, shuffle_parts, slices, text_bytes
+from matchloom.llm.common import ASCII_LOWER, extended, shuffle_parts, slices, text_bytes, unused
 
 LEAD = 48
-_KEY = ("__lead", "__digest")
 
 
 def normalise(text: bytes) -> bytes:
@@ -35,8 +34,12 @@ def normalise(text: bytes) -> bytes:
     return text.translate(ASCII_LOWER)
 
 
+def _key_names(columns: list[str]) -> list[str]:
+    return [unused(k, columns) for k in ("__lead", "__digest")]
+
+
 def _with_keys(rows: DataFrame, text: str) -> DataFrame:
-    names = rows.columns
+    names, added = rows.columns, _key_names(rows.columns)
     at = names.index(text)
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,15 +47,15 @@ def _with_keys(rows: DataFrame, text: str) -> DataFrame:
             norm = [normalise(t) for t in text_bytes(b.column(at))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([n[:LEAD] for n in norm], pa.binary()), pa.array([hashlib.sha256(n).digest() for n in norm], pa.binary())],
-                [*names, *_KEY],
+                [*names, *added],
             )
 
-    return rows.mapInArrow(keys, extended(rows.schema, *((k, T.BinaryType()) for k in _KEY)))
+    return rows.mapInArrow(keys, extended(rows.schema, *((k, T.BinaryType()) for k in added)))
 
 
 def content_sorted(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows in content order over the whole table: equal normalised texts adjacent, then by identifier."""
-    key: list[Column] = [F.col(k) for k in (*_KEY, doc_id)]
+    key: list[Column] = [F.col(f"`{k}`") for k in (*_key_names(rows.columns), doc_id)]
     return _with_keys(rows, text).repartitionByRange(shuffle_parts(rows.sparkSession), *key).sortWithinPartitions(*key)
 
 
@@ -159,7 +162,11 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Streams each sorted partition with a look-ahead of one row.  The row at a
     partition border is settled against the border rows of the other
-    partitions (one small row each).
+    partitions, by their whole texts (two rows of each partition at most).
+    Null texts count as empty and empty texts equal each other; of rows that
+    agree in text and identifier one is kept; a row without identifier is kept
+    only if its group has no other.  Names of other columns do not matter.  An
+    empty table gives an empty result.
     """
     from pyspark import TaskContext
 
@@ -167,12 +174,14 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"keep must be 'smallest' or 'largest', not {keep!r}")
     ordered = content_sorted(docs, doc_id, text)
     names = ordered.columns
-    id_at, text_at, digest_at = names.index(doc_id), names.index(text), names.index("__digest")
-    schema = extended(docs.schema, ("__edge", T.StringType()), ("__part", T.IntegerType()), ("__first", T.StringType()))
+    keys = _key_names(docs.columns)
+    id_at, text_at, digest_at = names.index(doc_id), names.index(text), names.index(keys[1])
+    edge_, at_, known_ = (unused(c, docs.columns) for c in ("__edge", "__at", "__known"))
+    schema = extended(docs.schema, (edge_, T.BinaryType()), (at_, T.LongType()), (known_, T.BooleanType()))
     out_names = schema.names
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each run the row to keep; border runs carry their digest, and their first row whether it has an id."""
+        """Of each run the row to keep; border runs carry their text, their place among all borders, and whether they have an id."""
         part = TaskContext.get().partitionId()
         held: pa.RecordBatch | None = None
         held_key: tuple[bytes, bytes] | None = None
@@ -180,9 +189,8 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         first = True
 
         def emit(edge: bool) -> pa.RecordBatch:
-            mark = f"{held_key[0].hex()}:{hashlib.sha1(held_key[1]).hexdigest()}" if edge else None
-            extra = [pa.array([mark], pa.string()), pa.array([part], pa.int32()), pa.array([("y" if held_known else "n") if edge else None], pa.string())]
-            return pa.RecordBatch.from_arrays([*[c for c, n in zip(held.columns, names) if n not in _KEY], *extra], out_names)
+            extra = [pa.array([held_key[1] if edge else None], pa.binary()), pa.array([2 * part + (not first) if edge else None], pa.int64()), pa.array([held_known if edge else None], pa.bool_())]
+            return pa.RecordBatch.from_arrays([*[c for c, n in zip(held.columns, names) if n not in keys], *extra], out_names)
 
         for b in slices(batches, text_at, 8 << 20):
             ids, digests, texts = b.column(id_at).to_pylist(), b.column(digest_at).to_pylist(), text_bytes(b.column(text_at))
@@ -203,7 +211,8 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield emit(True)
 
     kept = ordered.mapInArrow(scan, schema)
-    rank = F.struct((F.col("__first") == "y").alias("known"), (F.col("__part") if keep == "largest" else -F.col("__part")).alias("p"))
-    best = kept.filter(F.col("__edge").isNotNull()).groupBy("__edge").agg(F.max_by("__part", rank).alias("__best"))
-    out = kept.join(F.broadcast(best), "__edge", "left")
-    return out.filter(F.col("__edge").isNull() | (F.col("__part") == F.col("__best"))).select(*docs.columns)
+    at = F.col(at_)
+    rank = F.struct(F.col(known_), at if keep == "largest" else -at)
+    met = kept.filter(at.isNotNull()).groupBy(edge_).agg(F.max_by(at, rank).alias("best"), F.collect_list(at).alias("all"))
+    lost = met.select("best", F.explode("all").alias(at_)).filter(at != F.col("best")).select(at_)
+    return kept.join(F.broadcast(lost), at_, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
