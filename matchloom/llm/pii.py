@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import cut
 
 # Patterns of the entity types, tried in this order.
-EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
-SECRET = r"AKIA[0-9A-Z]{16}|(?<![0-9A-Za-z])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z_\-]{8,128}\"?"
+# Repetitions without a bound are possessive (++, *+), so long mentions need no stack, and each word is tried once.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
+KEYWORD = r"(?i:password|passwd|secret|token|api_?key)\s{0,9}+[=:]\s{0,9}+"
+SECRET = rf"AKIA[0-9A-Z]{{16}}|(?<![0-9A-Za-z]){KEYWORD}\"?[0-9A-Za-z_\-+/~]{{8,}}+(?:[.=]++[0-9A-Za-z_\-+/~]++)*+\"?"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -31,7 +33,10 @@ PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}
 # Honorifics by gender.
 HE = r"Mr\.?|Sir|Herr|Monsieur|Señor|Sr\.|Signor|г-н|господин"
 SHE = r"Mrs\.?|Ms\.?|Miss|Madam|Frau|Madame|Mme\.?|Señora|Sra\.|Signora|г-жа|госпожа"
-NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}) \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}){{0,2}}"
+# What stands before a name that someone gives.
+CUES = "my name is|mein Name ist|ich heiße|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|меня зовут"
+_WORDS = r"\p{Lu}[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++){0,2}+"
+NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}) {_WORDS}|(?<=(?iu:{CUES}) ){_WORDS}"
 PATTERN = f"(?:{EMAIL}|{SECRET}|{IBAN}|{CARD}|{SSN}|{IP}|{PHONE}|{NAME})"
 # Given names by gender and script.
 GIVEN = {
@@ -43,7 +48,7 @@ GIVEN = {
 # Syllables of family names by script.
 SYLLABLES = {"latin": "bar den fal gor hel kam lin mor nel par ros sel tor vel win zan".split(), "cyrillic": "бар вел гор дан зим кал лин мор нов пав рос сам тор фед хар яр".split()}
 #: What every entity has some of; texts without it are not searched further.
-HINT = r"[0-9@=:]|AKIA|(?:M(?:r|s|is|adam|me|onsieur|rs)|S(?:ir|r|ra|e\u00f1or|ignor)|Herr|Frau|\u0433-|\u0433\u043e\u0441\u043f\u043e)"
+HINT = r"(?iu)[0-9@=:]|AKIA|name is|Name ist|hei\u00dfe|appelle|nom est|llamo|nombre es|\u0437\u043e\u0432\u0443\u0442|(?-i:M(?:r|s|is|adam|me|onsieur|rs)|S(?:ir|r|ra|e\u00f1or|ignor)|Herr|Frau|\u0433-|\u0433\u043e\u0441\u043f\u043e)"
 MAX_ATTEMPTS = 30
 
 
@@ -56,7 +61,8 @@ def entity_type(m: Column) -> Column:
     out = F.lit("phone")
     for name, pattern in reversed((("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("ip", IP), ("phone", PHONE), ("name", NAME))):
         out = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
-    return out
+    # A name behind a cue is all letters: its cue is not part of the mention.
+    return F.when(m.rlike(f"^(?:{_WORDS})$"), F.lit("name")).otherwise(out)
 
 
 def canonical(kind: Column, m: Column) -> Column:
@@ -67,7 +73,7 @@ def canonical(kind: Column, m: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "email", F.lower(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "secret", F.regexp_replace(m, r"^(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*|\"", ""))
+        .when(kind == "secret", F.regexp_replace(m, rf"^{KEYWORD}|\"", ""))
         .when(kind == "name", F.concat(F.when(m.rlike(f"^(?:{SHE}) "), "she").otherwise("he"), F.lit(":"), bare))
         .otherwise(m)
     )
@@ -116,9 +122,8 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, ((F.lit(10) - total % 10) % 10).cast("string"))
 
 
-def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """Canonical surrogate of a canonical entity."""
-    h = _digest(key, kind, entity, attempt)
+def surrogate(kind: Column, entity: Column, attempt: Column, h: Column) -> Column:
+    """Canonical surrogate of a canonical entity, drawn from its digest ``h``."""
     local = F.substring_index(entity, "@", 1)
     ip = F.concat_ws(".", (_byte(h, 0) % 14 + 241).cast("string"), *[_byte(h, k).cast("string") for k in (1, 2)], (_byte(h, 3) % 254 + 1).cast("string"))
     cyr = entity.rlike(r"\p{IsCyrillic}")
@@ -149,7 +154,7 @@ def in_shape(kind: Column, mention: Column, value: Column) -> Column:
     spaces_before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), " ", ""))
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(value, spaces_before(i) + 1, F.lit(1)))), "")
     title = F.regexp_extract(mention, f"^(?:{HE}|{SHE}) ", 0)
-    lead = F.regexp_extract(mention, r"^(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?", 0)
+    lead = F.regexp_extract(mention, rf"^{KEYWORD}\"?", 0)
     return (
         F.when(kind.isin("phone", "card", "ssn"), grouped)
         .when(kind == "email", F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(value)).otherwise(value))
@@ -165,7 +170,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     todo = entities.select("kind", "entity", F.lit(0).alias("attempt"))
     done: list[DataFrame] = []
     for attempt in range(MAX_ATTEMPTS):
-        tried = cut(todo.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt"))))
+        # The digest is written first: a long entity's surrogate asks for it at every character.
+        keyed = cut(todo.withColumn("h", _digest(key, F.col("kind"), F.col("entity"), F.col("attempt"))))
+        tried = cut(keyed.select("kind", "entity", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), F.col("h")).alias("surrogate")))
         best = tried.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         taken = entities.select("kind", F.col("entity").alias("surrogate"))
         for d in done:
@@ -181,9 +188,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text``, ``n_entities``.
 
-    Null text stays null, with 0 entities.  Repeated rows and identifiers are
-    treated each on its own.  Texts without entities are passed through in
-    place; only texts with entities are shuffled, in pieces between entities.
+    Null text stays null, with 0 entities; empty texts stay empty.  Repeated
+    rows and identifiers are treated each on its own, with equal surrogates.
+    Other columns are not returned, whatever their names.  An empty table gives
+    an empty result.  Texts are searched whole, and mentions may be of any
+    length.  Texts without entities are passed through in place; only texts
+    with entities are shuffled, in pieces between entities.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))

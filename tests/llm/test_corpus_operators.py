@@ -448,6 +448,20 @@ def test_secrets_with_keys_in_any_case(spark):
     assert re.fullmatch(r"Api_Key=[0-9a-f]{12}", got[3][0]) and got[3][0] != texts[3]
 
 
+def test_long_mentions_and_plain_names(spark):
+    """Mentions of any length are replaced whole, and need no stack."""
+    rng = random.Random(13)
+    secrets = ["".join(rng.choices("0123456789abcdefABCDEF", k=n)) for n in (160, 5000)]
+    texts = ["x@" + "a." * 20_000 + "com", "token = " + secrets[0], f'API_KEY="{secrets[1]}" and more', "q" * 300_000 + "@example.com", "word " * 100_000 + "a@b.example.org.", "z" * 500_000, "My name is Peter Brown, I think.", "Je m'appelle Éva Martin", "password = ab12cd34.ef56gh78=", "меня зовут Иван"]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymise(docs(spark, [(k, t, None) for k, t in enumerate(texts)]), "k").collect()}
+    assert [n for _, (_, n) in sorted(got.items())] == [1, 1, 1, 1, 1, 0, 1, 1, 1, 1]
+    assert not any(s[k : k + 8] in got[i][0] for i, s in zip((1, 2), secrets) for k in range(0, len(s) - 8, 8))
+    assert len(got[1][0]) == len(texts[1]) and got[2][0].endswith('" and more') and got[4][0].endswith(".") and "a@b" not in got[4][0]
+    assert "a.a.a" not in got[0][0] and "qqqq" not in got[3][0] and got[5][0] == texts[5]
+    assert re.fullmatch(r"My name is [A-Z][a-z]+ [A-Z][a-z]+, I think\.", got[6][0]) and not re.search("Peter|Brown", got[6][0])
+    assert "Martin" not in got[7][0] and "cd34" not in got[8][0] and re.fullmatch("меня зовут [А-Я][а-я]+", got[9][0]) and "Иван" not in got[9][0]
+
+
 def test_surrogates_stay_distinct(spark):
     people = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("he:N"), "id").alias("entity"))
     got = pii.assign(people.unionByName(spark.range(150).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))), "k")
