@@ -11,7 +11,7 @@ from boilerplate.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -24,8 +24,8 @@ from matchloom.llm.common import extended, slices
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object math textarea title".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template svg iframe textarea title".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mroot mrow msqrt msub msup mtext object q s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -37,10 +37,11 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 
 
 @dataclass(slots=True)
@@ -74,24 +75,28 @@ def blocks(html: str) -> list[Block]:
         nonlocal text, linked
         words = unescape("".join(text)).split()
         if words:
-            owner = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-            name, _, boiler, content = stack[-1]
-            parent = stack[stack.index(owner) - 1][1] if len(stack) > 1 and stack.index(owner) else 0
+            at_owner = len(stack) - 1
+            while at_owner and stack[at_owner][0] in INLINE:
+                at_owner -= 1
+            _, _, boiler, content = stack[-1]
+            parent = stack[at_owner - 1][1] if at_owner else 0
             joined = " ".join(words)
-            out.append(Block(joined, parent, boiler, content, min(linked, len(joined)), owner[0] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            out.append(Block(joined, parent, boiler, content, min(linked, len(joined)), stack[at_owner][0] in ("h1", "h2", "h3", "h4", "h5", "h6")))
         text, linked = [], 0
 
     def pop_to(k: int) -> None:
         nonlocal links
         for s in stack[k:]:
             links -= s[0] == "a"
+            is_open[s[0]] -= 1
         del stack[k:]
 
-    size, lowered = len(html), None
+    # No tag ends behind the last ">": what begins there is text, and is not searched again and again.
+    size, last, is_open = len(html), html.rfind(">") + 1, Counter[str]()
     while at < size:
-        m = _PIECE.search(html, at)
+        m = _PIECE.search(html, at, last) if at < last else None
         if m is None:
-            text.append(html[at:])
+            text.append(html[at:].split("<!--", 1)[0])
             break
         if m.start() > at:
             piece = html[at : m.start()]
@@ -101,29 +106,30 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment without an end
+                break
             continue
         if name == "br" or name == "hr":
             close_block()
             continue
         if not m[1]:
             if name in RAW:
-                if lowered is None:
-                    lowered = html.lower()
-                end = lowered.find(f"</{name}", at) if not m[3].endswith("/") else at
-                at = size if end < 0 else (lowered.find(">", end) + 1 or size) if end > at else at
+                if not m[3].endswith("/"):
+                    end = _RAW_END[name].search(html, at)
+                    at = size if end is None else html.find(">", end.end()) + 1 or size
                 continue
             if name in VOID:
                 continue
             if name not in INLINE:
                 close_block()
-                if name in ENDS_P:
+                if name in ENDS_P and is_open["p"]:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == "p":
                             pop_to(k)
                             break
                         if stack[k][0] not in INLINE:
                             break
-                if name in SAME:
+                if name in SAME and any(is_open[other] for other in SAME[name]):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] in SAME[name]:
                             pop_to(k)
@@ -143,7 +149,8 @@ def blocks(html: str) -> list[Block]:
             number += 1
             stack.append((name, number, b0 + boiler, c0 + content))
             links += name == "a"
-        else:
+            is_open[name] += 1
+        elif is_open[name]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     if name not in INLINE:
@@ -230,7 +237,15 @@ def content_flags(found: list[Block], near: float = 0.3, parent: float = 0.7) ->
     if not found:
         return []
     cost = [costs(b) for b in found]
-    ties = [(i, i + 1, near + parent * (found[i].parent == found[i + 1].parent)) for i in range(len(found) - 1) if (found[i].boiler > 0) == (found[i + 1].boiler > 0)]
+    # Blocks next to each other on the page, loosely where one of them alone stands in boilerplate elements, ...
+    ties = [(i, i + 1, near if (found[i].boiler > 0) == (found[i + 1].boiler > 0) else near / 6) for i in range(len(found) - 1)]
+    # ... and blocks next to each other under one parent element.
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        j = last.get(b.parent)
+        if j is not None and (found[j].boiler > 0) == (b.boiler > 0):
+            ties.append((j, i, parent))
+        last[b.parent] = i
     return min_cut(len(found), [g for _, g in cost], [b for b, _ in cost], ties)
 
 
@@ -243,7 +258,10 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars`` (code points) added; one row per page, no shuffle.
 
-    Null and empty pages give empty text.  Columns named ``text`` or ``n_chars`` are replaced.
+    Null and empty pages give empty text.  Pages of any length are read whole,
+    in time that grows with their length; broken markup does not matter.
+    Repeated pages give equal texts, an empty table an empty result.  Other
+    columns stay; those named ``text`` or ``n_chars`` are replaced.
     """
     base = pages.drop(*[c for c in ("text", "n_chars") if c != html])
     names = base.columns

@@ -375,6 +375,20 @@ def test_main_text():
     assert html_extract.main_text("<p>" + "long text " * 30000).count("long") == 30000
 
 
+def test_main_text_of_odd_pages():
+    """Characters that grow in lower case, formulas and objects, and broken pages of some size in linear time."""
+    import time
+
+    body = "<p>The first paragraph of this article is long enough to count.<p>The second paragraph has text of the article too."
+    page = "İ" * 40 + f"<article>{body}<SCRIPT>if (a > b) x('</p>')</Script ><p>The third one closes the whole article here.</article>"
+    assert html_extract.main_text(page).endswith("count. The second paragraph has text of the article too. The third one closes the whole article here.")
+    assert html_extract.main_text("<article><p>The relation <math><mi>E</mi></math> holds for all of <object>these <b>parts</b></object> that we have seen</article>") == "The relation E holds for all of these parts that we have seen"
+    began = time.time()
+    odd = ["<a " * 20_000, "x > y " + "<a " * 20_000, '<a "' * 20_000 + ">", "<!--" * 20_000, "<!-- " * 5 + ">", "<div>x" * 5_000, "<div>" * 5_000 + "</x>" * 20_000, "<b>" * 20_000 + "<p>y" * 100, "<script>" * 20_000, "<" * 50_000, "<p>" + "<li>x" * 5_000, "&lt;" * 50_000]
+    out = [html_extract.main_text(f"<article>{body}</article>{x}") for x in odd]
+    assert time.time() - began < 20 and all("first paragraph" in o and "text of the article too." in o for o in out)
+
+
 def test_min_cut_equals_enumeration():
     rng = random.Random(5)
     for _ in range(40):
