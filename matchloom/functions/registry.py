@@ -22,13 +22,13 @@ def register(spark: SparkSession) -> list[str]:
 
     q = ", ".join(f"'{x}'" for x in k.QUALIFIERS)
     table = lambda m: "map(" + ", ".join(f"'{a}', '{b}'" for a, b in m.items()) + ")"
-    by_key = {k._plain_key(a): b for a, b in k.ALIASES.items()}
-    strip = lambda c: f"regexp_replace({c}, r'^{t.SPACE}+|{t.SPACE}+$', '')"
+    spaces = "".join(f"\\u{ord(c):04x}" for c in t.SPACES)
+    strip = lambda c: f"trim(BOTH '{spaces}' FROM {c})"
     tokens = f"filter(split(lower({strip('name')}), '[^a-z0-9+#.]+'), x -> x <> '')"
     telling = f"filter({tokens}, x -> x NOT IN ({q}))"
     parts = {
         "canonical_key(name STRING) RETURNS STRING": f"array_join(CASE WHEN size({telling}) > 0 THEN {telling} ELSE {tokens} END, '')",
-        "normalize_skill(name STRING) RETURNS STRING": f"CASE WHEN {strip('name')} = '' THEN '' ELSE coalesce(element_at({table(k.ALIASES)}, lower({strip('name')})), element_at({table(by_key)}, canonical_key({strip('name')})), {strip('name')}) END",
+        "normalize_skill(name STRING) RETURNS STRING": f"CASE WHEN {strip('name')} = '' THEN '' ELSE coalesce(element_at({table(k.ALIASES)}, lower({strip('name')})), element_at({table(k.ALIAS_KEYS)}, canonical_key({strip('name')})), {strip('name')}) END",
         "seniority_from_title(title STRING) RETURNS STRING": "CASE "
         + " ".join(f"WHEN rlike(regexp_replace(title, r'{s.NOT_A_LEVEL}', ' '), r'{p}') THEN '{v}'" for p, v in ((s.STAFF, "staff"), (s.SENIOR, "senior"), (s.JUNIOR, "junior")))
         + " END",

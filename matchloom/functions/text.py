@@ -18,9 +18,13 @@ PROFILE_CHARS, POSTING_CHARS, ERROR_CHARS = 40_000, 20_000, 2_000
 NOISE = ("script", "style", "noscript", "template", "svg", "iframe", "nav", "footer", "header")
 
 
+#: The characters of SPACE.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing white space."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,12 @@ def rerank(scored: DataFrame, limit: int = FEED_SIZE, digits: int = 6) -> DataFr
     return scored.withColumn("feed_rank", F.row_number().over(w)).filter(F.col("feed_rank") <= limit)
 
 
-def build_feed(profiles: DataFrame, postings: DataFrame, recall_limit: int = RECALL_LIMIT, feed_size: int = FEED_SIZE, filters: FeedFilters | None = None, scored_at: Column | None = None) -> DataFrame:
-    """Feeds of all profiles in one job: recall, score, rerank, in the shape of ``matches`` (without match_id)."""
-    near = recall(profiles, postings, recall_limit, filters).drop("rank")
+def build_feed(profiles: DataFrame, postings: DataFrame, recall_limit: int = RECALL_LIMIT, feed_size: int = FEED_SIZE, filters: FeedFilters | None = None, scored_at: Column | None = None, nearest: Callable[..., DataFrame] = recall) -> DataFrame:
+    """Feeds of all profiles in one job: recall, score, rerank, in the shape of ``matches`` (without match_id).
+
+    ``nearest`` is :func:`recall`, or :func:`recall_cells` for catalogs too wide to compare in full.
+    """
+    near = nearest(profiles, postings, recall_limit, filters).drop("rank")
     ranked = rerank(score_pairs(near, profiles, postings), feed_size)
     return ranked.select(
         "profile_id", "posting_id", "semantic_score", "skill_score", "final_score", "breakdown", F.lit("recommendation").alias("origin"),

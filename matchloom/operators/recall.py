@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -56,8 +57,8 @@ def eligible(postings: DataFrame, filters: FeedFilters | None = None) -> DataFra
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.asarray(rows, np.float64) if rows else np.zeros((0, 0))
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
 
 
 def _best_of_block(limit: int):
@@ -111,10 +112,15 @@ def recall_sql_form(profiles: DataFrame, postings: DataFrame, limit: int = RECAL
     return top_k(p.crossJoin(q).select("profile_id", "posting_id", cosine_of_units(F.col("pe"), F.col("qe")).alias("semantic_score")), limit)
 
 
-def recall_cells(profiles: DataFrame, postings: DataFrame, limit: int = RECALL_LIMIT, filters: FeedFilters | None = None, cells: int = 32, probes: int = 8, sample_rows: int = 100_000, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate nearest postings.  Cells are fitted on at most about ``sample_rows`` postings; every posting is assigned to one.
+def recall_cells(profiles: DataFrame, postings: DataFrame, limit: int = RECALL_LIMIT, filters: FeedFilters | None = None, cells: int = 32, target: float = 0.95, sample_rows: int = 100_000, sample_profiles: int = 200, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate nearest postings: each profile is compared with the postings of its nearest cells.
 
-    Large cells are dealt over several tasks.
+    Cells are fitted on at most about ``sample_rows`` postings; every posting
+    is assigned to one.  How many cells a profile looks into is measured: the
+    exact neighbours of ``sample_profiles`` profiles (lowest hash of the
+    identifier) are looked up, and the smallest number of cells that holds
+    ``target`` of them is used for all.  Vectors without structure need most
+    cells, clustered ones few.  Large cells are dealt over several tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -125,20 +131,28 @@ def recall_cells(profiles: DataFrame, postings: DataFrame, limit: int = RECALL_L
     centres = np.array(fitted.clusterCenters())
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def nearest(vectors, n):
+    def nearest(vectors):
         import pandas as pd
 
         x = np.stack(vectors.to_numpy()).astype(np.float64)
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(2)
-        return pd.Series(np.argsort(d, axis=1, kind="stable")[:, : int(n.iloc[0])].astype(np.int32).tolist())
+        d = (centres**2).sum(1)[None] - 2 * x @ centres.T  # the vector's own length does not change the order
+        return pd.Series(np.argsort(d, axis=1, kind="stable").astype(np.int32).tolist())
+
+    assigned = right.withColumn("cell", nearest("embedding")[0]).persist(StorageLevel.DISK_ONLY)
+    left = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
+    asked = left.orderBy(F.xxhash64("profile_id"), "profile_id").limit(sample_profiles)
+    known = F.broadcast(recall(asked, postings, limit, filters).select("profile_id", "posting_id"))  # at most sample_profiles x limit rows
+    order = F.broadcast(asked.select("profile_id", nearest("embedding").alias("order")))
+    depth = assigned.select("posting_id", "cell").join(known, "posting_id").join(order, "profile_id").groupBy(F.array_position("order", F.col("cell")).alias("depth")).count()
+    held = sorted((r["depth"], r["count"]) for r in depth.collect())
+    share = np.cumsum([n for _, n in held]) / max(1, sum(n for _, n in held))
+    probes = int(held[int(np.searchsorted(share, target - 1e-12))][0]) if held else 1
 
-    assigned = right.withColumn("cell", nearest("embedding", F.lit(1))[0])
     sizes = assigned.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
     sizes = F.broadcast(sizes.select("cell", "parts"))  # one row per cell
     dealt = assigned.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("posting_id"), F.col("parts")).cast("int")).drop("parts")
-    left = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
-    probing = left.withColumn("cell", F.explode(nearest("embedding", F.lit(probes)))).join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = probing.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(_best_of_block(limit), _FOUND)
+    probing = left.withColumn("cell", F.explode(F.slice(nearest("embedding"), 1, probes))).join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = probing.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(_best_of_block(limit + 32), _FOUND)
     return top_k(found, limit)
 
 

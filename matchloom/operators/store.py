@@ -1,4 +1,4 @@
-"""Mutable tables as snapshots: keyed upserts by one full outer join, and a pointer to the current version."""
+"""Mutable tables as snapshots: keyed upserts by one full outer join, and numbered versions."""
 
 from __future__ import annotations
 
@@ -44,45 +44,59 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], rules: Mappi
 
 
 class SnapshotStore:
-    """Versioned Parquet tables under one folder: ``<root>/<table>/<version>``, current versions in ``<root>/<table>/_current``.
-
-    A version is complete before the pointer names it; readers of an older
-    version are not disturbed.  All access goes through Spark.
+    """Versioned Parquet tables under one folder.
+
+    Rows are in ``<root>/<table>/<folder>``; version ``n`` is the list of
+    folders in ``<root>/<table>.versions/<n>``, and the current version is the
+    highest number whose list is written in full.  Nothing that was published
+    is changed: a crash between the writes leaves the version before current,
+    and readers of an older version are not disturbed.  Two writers of one
+    version number conflict, and the later one fails.  All access goes through
+    Spark.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
-
-    def version(self, table: str) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(table))
+    def _versions(self, table: str) -> dict[int, bool]:
+        """Numbers of all versions, and whether each is complete."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}.versions")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
+            return {}
+        found = [f.getPath() for f in fs.listStatus(path)]
+        return {int(f.getName()): fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")) for f in found if f.getName().isdigit()}
 
-    def read(self, table: str) -> DataFrame:
-        v = self.version(table)
+    def version(self, table: str) -> int | None:
+        return max((n for n, complete in self._versions(table).items() if complete), default=None)
+
+    def _folders(self, table: str, version: int) -> list[str]:
+        return sorted(r[0] for r in self.spark.read.text(f"{self.root}/{table}.versions/{version}").collect())
+
+    def _publish(self, table: str, folders: list[str]) -> DataFrame:
+        n = max(self._versions(table), default=0) + 1
+        self.spark.createDataFrame([(f,) for f in folders], "v string").coalesce(1).write.text(f"{self.root}/{table}.versions/{n}")
+        return self.read(table, n)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        v = self.version(table) if version is None else version
         if v is None:
             raise FileNotFoundError(f"{table} has no version in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{table}/{v}")
+        return self.spark.read.parquet(*[f"{self.root}/{table}/{f}" for f in self._folders(table, v)])
+
+    def _stored(self, table: str, rows: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{table}/{folder}")
+        return folder
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """Write a version and make it the current one."""
-        v = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{table}/{v}")
-        self.spark.createDataFrame([(v,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
-        return self.read(table)
+        return self._publish(table, [self._stored(table, rows)])
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Add rows to the current version in place (append-only tables)."""
+        """A version of the current rows and ``rows``; only the latter are written."""
         v = self.version(table)
-        if v is None:
-            return self.write(table, rows)
-        rows.write.mode("append").parquet(f"{self.root}/{table}/{v}")
-        return self.read(table)
+        return self._publish(table, [*(self._folders(table, v) if v is not None else []), self._stored(table, rows)])
 
     def upsert(self, table: str, updates: DataFrame, keys: list[str], rules: Mapping[str, Rule], **options: object) -> DataFrame:
         return self.write(table, upsert(self.read(table), updates, keys, rules, **options))

@@ -142,3 +142,9 @@ def test_table_function_and_extractor(spark):
     assert [(r.line_no, r.outcome) for r in rows] == [(0, "accepted"), (2, "duplicate"), (3, "rejected"), (4, "accepted"), (5, "over_cap")]
     out = extract(spark.createDataFrame([(1, "abcdef")], "id int, t string"), "id", "t", lambda: lambda ts: [x.upper() for x in ts], 3)
     assert out.first().raw == "ABC"
+
+
+def test_alias_keys_are_the_aliases_keys(spark):
+    rows = spark.createDataFrame(list(skills.ALIASES.items()), "alias string, name string")
+    got = rows.select(skills.canonical_key(F.col("alias")).alias("key"), "name").collect()
+    assert {r.key for r in got} == set(skills.ALIAS_KEYS) and all(skills.ALIAS_KEYS[r.key] in {x.name for x in got if x.key == r.key} for r in got)
