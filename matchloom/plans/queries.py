@@ -614,3 +614,84 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = flows.drain(flows.feedback_sessions(s, "match_id", "ts", "verdict", late="3650 days"), "complete")
     return out.groupBy("match_id").agg(F.count("*").alias("sessions"), F.sum("n_events").alias("n_events"))
 
+
+
+# --- functions ------------------------------------------------------------------------
+
+
+@query(
+    "age_labels",
+    """WITH a AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE date_diff('second', ts, TIMESTAMP '2030-01-01 00:00:00') % (20 * (event_id % 5000) + 1) END AS s FROM events)
+    SELECT event_id, CASE WHEN s IS NULL THEN 'never' WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 172800 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age FROM a""",
+)
+def age_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Ages of events as a reader sees them; the modulus spreads them over all units."""
+    ev = b.table(spark, d, "events")
+    seconds = F.lit("2030-01-01 00:00:00").cast("timestamp").cast("long") - F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    spread = F.when(F.col("event_id") % 9 != 0, seconds % (F.col("event_id") % 5000 * 20 + 1))
+    return ev.select("event_id", classify.human_age(spread).alias("age"))
+
+
+@query(
+    "fetch_outcomes",
+    """WITH f AS (SELECT event_id, [200, 301, 404, 429, 503, 500, NULL][1 + event_id % 7] AS status, ['text/html; charset=utf-8', 'application/pdf', 'Application/JSON', NULL, 'image/png'][1 + event_id % 5] AS kind,
+      CASE WHEN event_id % 11 = 0 THEN 5000001 ELSE 1000 END AS n, CASE WHEN event_id % 7 = 6 AND event_id % 2 = 0 THEN 'timed out' END AS error FROM events)
+    SELECT event_id, CASE WHEN status IN (429, 500, 503) THEN 'transient' WHEN status >= 400 THEN 'permanent' WHEN status IS NULL AND error IS NOT NULL THEN 'transient'
+      WHEN n > 5000000 OR kind IN ('application/pdf', 'image/png') THEN 'permanent' ELSE 'ok' END AS outcome FROM f""",
+)
+def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of one response per event."""
+    i = F.col("event_id")
+    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (i % len(values) + 1).cast("int"))
+    status = pick((200, 301, 404, 429, 503, 500, None), "int")
+    kind = pick(("text/html; charset=utf-8", "application/pdf", "Application/JSON", None, "image/png"), "string")
+    size, error = F.when(i % 11 == 0, 5_000_001).otherwise(1000), F.when((i % 7 == 6) & (i % 2 == 0), "timed out")
+    return b.table(spark, d, "events").select("event_id", classify.fetch_outcome(status, kind, size, error).alias("outcome"))
+
+
+@query(
+    "iso_times",
+    """SELECT o_orderkey, CAST(epoch(CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate - INTERVAL 150 MINUTE WHEN 2 THEN o_orderdate END) AS BIGINT) AS unix_seconds FROM orders""",
+)
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates written in four ways and read again: Z, an offset, no zone, and no date at all."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("o_orderkey") % 4
+    written = F.when(k == 0, F.concat(day, F.lit("Z"))).when(k == 1, F.concat(day, F.lit("+0230"))).when(k == 2, F.translate(day, "T", " ")).otherwise("soon")
+    return b.table(spark, d, "orders").select("o_orderkey", F.unix_seconds(text.iso_timestamp(written)).alias("unix_seconds"))
+
+
+@query(
+    "truncated_texts",
+    """SELECT doc_id, length(substr(text, 1, 2000)) AS n_chars, sha256(substr(text, 1, 2000)) AS text_sha256, length(text) > 2000 AS truncated FROM documents""",
+)
+def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at 2,000 characters."""
+    cut = b.table(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 2000).alias("t"))
+    return cut.select("doc_id", F.length("t.text").cast("long").alias("n_chars"), F.sha2("t.text", 256).alias("text_sha256"), "t.truncated")
+
+
+@query(
+    "unit_vectors",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 3)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS len FROM e)
+    SELECT a.vec_id, CAST(round(a.v[1] / a.len * 1e5) AS BIGINT) AS first_e5, CAST(round(list_inner_product(a.v, c.v) / (a.len * c.len) * 1e5) AS BIGINT) AS cosine_e5
+    FROM n a JOIN n c ON c.vec_id = a.vec_id + 1""",
+)
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled vectors brought back to length one, and the cosine of each with the next."""
+    scaled = F.transform("embedding", lambda x: (x * (F.col("vec_id") % 3 + 1)).cast("float"))
+    v = b.table(spark, d, "embeddings").select("vec_id", vectors.l2_normalize(scaled).alias("v"))
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")).hint("merge")
+    e5 = lambda x: F.round(x * 1e5).cast("long")
+    return v.join(following, "vec_id").select("vec_id", e5(F.col("v")[0].cast("double")).alias("first_e5"), e5(vectors.cosine_of_units(F.col("v"), F.col("w"))).alias("cosine_e5"))
+
+
+@query(
+    "dedupe_keys",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'profile:' || o_custkey || ':' || sha256('https://example.com/' || o_orderkey) WHEN 1 THEN 'posting:' || o_orderpriority ELSE 'discover:' || o_custkey END AS dedupe_key FROM orders""",
+)
+def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys under which equal work is submitted once."""
+    k, url = F.col("o_orderkey") % 3, F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string"))
+    key = F.when(k == 0, urls.dedupe_key("profile", F.col("o_custkey"), urls.hash_url(url))).when(k == 1, urls.dedupe_key("posting", F.col("o_orderpriority"))).otherwise(urls.dedupe_key("discover", F.col("o_custkey")))
+    return b.table(spark, d, "orders").select("o_orderkey", key.alias("dedupe_key"))
