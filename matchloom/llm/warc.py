@@ -171,11 +171,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared checkpoint folder and read them back."""
+    """Write ``pages`` to archives in the shared checkpoint folder and read them back; a record that cannot be read fails the job."""
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_revisit_bytes=min_revisit_bytes)
-    return read_archives(spark, path, with_payload=False).drop("payload")
+    read = read_archives(spark, path, with_payload=False).drop("payload")
+    failed = F.raise_error(F.concat(F.lit("malformed record: "), F.col("error")))
+    return read.withColumn("page_id", F.when(F.col("error").isNotNull(), failed.cast("long")).otherwise(F.col("page_id"))).drop("error")
 
 
