@@ -35,8 +35,10 @@ HE = r"Mr\.?|Sir|Herr|Monsieur|Señor|Sr\.|Signor|г-н|господин"
 SHE = r"Mrs\.?|Ms\.?|Miss|Madam|Frau|Madame|Mme\.?|Señora|Sra\.|Signora|г-жа|госпожа"
 # What stands before a name that someone gives.
 CUES = "my name is|mein Name ist|ich heiße|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|меня зовут"
-_WORDS = r"\p{Lu}[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++){0,2}+"
-NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}) {_WORDS}|(?<=(?iu:{CUES}) ){_WORDS}"
+_REST = r"[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++){0,2}+"
+_WORDS = rf"\p{{Lu}}{_REST}"
+# What stands before is looked at behind a capital letter only.
+NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}) {_WORDS}|\p{{Lu}}(?<=(?iu:{CUES}) .){_REST}"
 PATTERN = f"(?:{EMAIL}|{SECRET}|{IBAN}|{CARD}|{SSN}|{IP}|{PHONE}|{NAME})"
 # Given names by gender and script.
 GIVEN = {
