@@ -127,3 +127,8 @@ def batch_progress(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     counts = per.groupBy("batch_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"), F.sum(F.when(F.col("status").isin(*IN_FLIGHT), F.col("n")).otherwise(0)).alias("in_flight"))
     rows = batches.join(counts, "batch_id", "left")
     return rows.withColumn("counts", F.coalesce("counts", F.create_map().cast("map<string,bigint>"))).withColumn("is_complete", F.coalesce("in_flight", F.lit(0)) == 0).drop("in_flight")
+
+
+def batch_listing(batches: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest batches first, at most ``limit``."""
+    return batches.orderBy(F.desc("created_at"), F.desc("batch_id")).limit(limit)

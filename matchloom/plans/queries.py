@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import classify, seniority, skills, text, urls, vectors
 from matchloom.operators import catalog, embed, feed, insights, jobs, maintenance, ops, profiles, recall
 from matchloom.plans import bindings as b
+from matchloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from matchloom.sources import texts
 from matchloom.streaming import flows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 NOW = "TIMESTAMP '2001-06-01 00:00:00'"
 
 
@@ -342,6 +326,13 @@ def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
     return catalog.crawl_summary(catalog.crawl_actions(new, old), "source_id").select("source_id", "enumerated", "ingested", "too_short", "gate_hits", "gate_misses")
 
 
+@query("crawl_hit_rates", _SNAP + "SELECT source AS source_id, CAST(CASE WHEN count(*) FILTER (action = 'ingest') > 0 THEN round_even(count(*) FILTER (gate_hit) / count(*) FILTER (action = 'ingest'), 4) ELSE 0 END AS DOUBLE) AS hit_rate FROM a GROUP BY 1")
+def crawl_hit_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often the gate spared an extraction, by source."""
+    old, new = _snapshots(spark, d)
+    return catalog.crawl_summary(catalog.crawl_actions(new, old), "source_id").select("source_id", "hit_rate")
+
+
 @query("close_missing", "SELECT source AS source_id, count(*) FILTER (doc_id % 7 = 0 AND source <> 'src1') AS closed, count(*) AS postings FROM documents GROUP BY 1")
 def close_missing(spark: SparkSession, d: str) -> DataFrame:
     """Postings a crawl no longer lists are closed; one source was not read to its end and keeps all of its."""
@@ -560,12 +551,20 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return flows.drain(flows.once(s, "ts", ["user_id", "event_type"], "3650 days")).agg(F.count("*").alias("n_keys"))
 
 
-@query("stream_pacing")
+@query(
+    "stream_pacing",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t AS since, 3.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait, false AS over_limit, 2.0::DOUBLE AS left_ FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, since, tokens, wait, wait > 3600, CASE WHEN wait > 3600 THEN tokens ELSE tokens - 1 END FROM (
+    SELECT *, CASE WHEN tokens >= 1 THEN 0.0 ELSE (1 - tokens) / (2.0::DOUBLE / 86400) END AS wait FROM (
+      SELECT e.user_id, e.event_id, e.n, greatest(r.since, e.t) AS since, least(3.0, r.left_ + greatest(0.0, e.t - r.since) * (2.0::DOUBLE / 86400)) AS tokens FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT CAST(user_id AS VARCHAR) AS host, event_id AS request_id, CAST(round(wait, 1) AS DOUBLE) AS wait_s, over_limit FROM r""",
+)
 def stream_pacing(spark: SparkSession, d: str) -> DataFrame:
     """Waits of the events' users under a token bucket of two requests a day."""
     s = flows.replay(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
     with flows.rocksdb(spark):
-        return flows.drain(flows.pace_requests(s, rate=2 / 86400, burst=3, most_wait=3600.0))
+        return flows.drain(flows.pace_requests(s, rate=2 / 86400, burst=3, most_wait=3600.0)).select("host", "request_id", F.round("wait_s", 1).alias("wait_s"), "over_limit")
 
 
 @query(
@@ -695,3 +694,6 @@ def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
     k, url = F.col("o_orderkey") % 3, F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string"))
     key = F.when(k == 0, urls.dedupe_key("profile", F.col("o_custkey"), urls.hash_url(url))).when(k == 1, urls.dedupe_key("posting", F.col("o_orderpriority"))).otherwise(urls.dedupe_key("discover", F.col("o_custkey")))
     return b.table(spark, d, "orders").select("o_orderkey", key.alias("dedupe_key"))
+
+
+from matchloom.plans import boards, ingest  # noqa: E402, F401  (they register their queries)
