@@ -1,26 +1,32 @@
 """Main-text extraction by minimum cut.
 
 A page becomes a list of text blocks.  Each block has a cost for being called
-content and one for being called boilerplate, from its tags, attribute words,
-link density and length; these are the terminal capacities.  Neighbouring
-blocks, and more so blocks under the same parent element, are tied by
-smoothness edges.  The minimum cut between the terminals separates content
-from boilerplate.
+content and one for being called boilerplate; these are the terminal
+capacities.  They add the evidence of its markup (tags and attribute words,
+fixed weights) to the log-odds of a logistic classifier of its shape (length,
+link density, heading).  Pages carry no labels, so the classifier is fitted by
+self-training: on a bounded sample of pages it learns the shape of the blocks
+whose markup leaves no doubt.  Neighbouring blocks, and more so blocks under
+the same parent element, are tied by smoothness edges.  The minimum cut
+between the terminals separates content from boilerplate.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.common import extended, slices
+from matchloom.llm.crf import minimise
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,12 +167,22 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
+#: Weights of the shape classifier before it has seen a page: bias, link density, short block, length, heading.
+PRIOR = (0.8, -2.5, -0.6, 1.0, 0.4)
+#: Range of its log-odds: that of the prior, so that markup keeps its weight.
+LOWEST, HIGHEST = -2.3, 3.2
+
+
+def shape(share: float, size: int, heading: bool) -> tuple[float, float, float, float, float]:
+    """Features of a block: its link density, number of characters, and whether it is a heading."""
+    return 1.0, share, float(size < 25 and not heading), min(size, 400) / 200 * (1 - share), float(heading)
+
+
+def costs(b: Block, weights: Sequence[float] = PRIOR) -> tuple[float, float]:
     """Cost of calling the block content, and of calling it boilerplate."""
-    share = b.linked / len(b.text)
-    bad = 4.0 * min(b.boiler, 2) + 2.5 * share + (0.6 if len(b.text) < 25 and not b.heading else 0.0)
-    good = 0.8 + 1.5 * min(b.content, 2) + min(len(b.text), 400) / 200 * (1 - share) + (0.4 if b.heading else 0.0)
-    return bad, good
+    z = sum(w * f for w, f in zip(weights, shape(b.linked / len(b.text), len(b.text), b.heading)))
+    z = min(max(z, LOWEST), HIGHEST)
+    return 4.0 * min(b.boiler, 2) + max(-z, 0.0), 1.5 * min(b.content, 2) + max(z, 0.0)
 
 
 def min_cut(n: int, source: list[float], sink: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -232,11 +248,11 @@ def min_cut(n: int, source: list[float], sink: list[float], ties: list[tuple[int
                 a = to[path.pop() ^ 1]
 
 
-def content_flags(found: list[Block], near: float = 0.3, parent: float = 0.7) -> list[bool]:
+def content_flags(found: list[Block], weights: Sequence[float] = PRIOR, near: float = 0.3, parent: float = 0.7) -> list[bool]:
     """Which blocks are content."""
     if not found:
         return []
-    cost = [costs(b) for b in found]
+    cost = [costs(b, weights) for b in found]
     # Blocks next to each other on the page, loosely where one of them alone stands in boilerplate elements, ...
     ties = [(i, i + 1, near if (found[i].boiler > 0) == (found[i + 1].boiler > 0) else near / 6) for i in range(len(found) - 1)]
     # ... and blocks next to each other under one parent element.
@@ -249,20 +265,69 @@ def content_flags(found: list[Block], near: float = 0.3, parent: float = 0.7) ->
     return min_cut(len(found), [g for _, g in cost], [b for b, _ in cost], ties)
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: Sequence[float] = PRIOR) -> str:
     """Content blocks joined by a space; character references decoded, white space collapsed.  Null or empty: ''."""
     found = blocks(html or "")
-    return " ".join(b.text for b, keep in zip(found, content_flags(found)) if keep)
+    return " ".join(b.text for b, keep in zip(found, content_flags(found, weights)) if keep)
+
+
+def sure_blocks(html: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """Blocks whose markup speaks for one side alone: eighths of link density, size in steps of 25 up to 400, heading, content."""
+    for b in blocks(html):
+        if (b.boiler > 0) != (b.content > 0):
+            yield round(8 * b.linked / len(b.text)), min(len(b.text) // 25, 16), b.heading, b.content > 0
+
+
+def fit(pages: DataFrame, html: str = "html", most: int = 2_000, pull: float = 20.0) -> tuple[float, ...]:
+    """Weights of the shape classifier, learned from about ``most`` different pages, those with the lowest hashes.
+
+    Both classes weigh the same; ``pull`` is the weight of :data:`PRIOR`, which
+    stays where no page has sure blocks of both kinds.  Only counts of the at
+    most 612 kinds of sure blocks reach the driver.
+    """
+    filled = pages.select(F.col(html).alias("html")).filter(F.length("html") > 0)
+    h = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    rate = min(1.0, most / max(filled.count(), 1))
+    sample = filled.filter(h < int(rate * (1 << 40))).dropDuplicates(["html"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = Counter(kind for b in batches for page in b.column(0).to_pylist() for kind in sure_blocks(page))
+        columns = [*zip(*[(*kind, n) for kind, n in kinds.items()])] or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()))], ["share", "size", "heading", "content", "n"])
+
+    counts = sample.mapInArrow(run, "share int, size int, heading boolean, content boolean, n long").groupBy("share", "size", "heading", "content").agg(F.sum("n").alias("n"))
+    return learn([tuple(r) for r in sorted(counts.collect())], pull)
+
+
+def learn(kinds: list[tuple[int, int, bool, bool, int]], pull: float) -> tuple[float, ...]:
+    """Logistic regression on kinds of sure blocks and their counts, drawn towards :data:`PRIOR`."""
+    good, bad = (sum(k[4] for k in kinds if k[3] == side) for side in (True, False))
+    if not good or not bad:
+        return PRIOR
+    x = np.array([shape(share / 8, 25 * size + 12 if size < 16 else 400, heading) for share, size, heading, _, _ in kinds])
+    y = np.array([1.0 if k[3] else -1.0 for k in kinds])
+    # Both classes together weigh as much as there are blocks, but at most 2,000: the prior is not forgotten.
+    weight = np.array([k[4] / (good if k[3] else bad) for k in kinds]) * min(good + bad, 2_000) / 2
+    prior = np.array(PRIOR)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        m = y * (x @ w)
+        slope = -weight * y / (1 + np.exp(np.clip(m, -500, 500)))
+        return float(weight @ np.logaddexp(0, -m) + pull / 2 * ((w - prior) ** 2).sum()), x.T @ slope + pull * (w - prior)
+
+    return tuple(float(w) for w in minimise(loss, prior, 200))
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without ``html``, with ``text`` and ``n_chars`` (code points) added; one row per page, no shuffle.
+def extract(pages: DataFrame, html: str = "html", weights: Sequence[float] | None = None) -> DataFrame:
+    """``pages`` without ``html``, with ``text`` and ``n_chars`` (code points) added; one row per page.  The scoring pass does not shuffle.
 
+    ``weights`` are those of the shape classifier; by default :func:`fit` learns them from ``pages``.
     Null and empty pages give empty text.  Pages of any length are read whole,
     in time that grows with their length; broken markup does not matter.
     Repeated pages give equal texts, an empty table an empty result.  Other
     columns stay; those named ``text`` or ``n_chars`` are replaced.
     """
+    learned = tuple(fit(pages, html) if weights is None else weights)
     base = pages.drop(*[c for c in ("text", "n_chars") if c != html])
     names = base.columns
     at = names.index(html)
@@ -270,7 +335,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
-            texts = [main_text(h) for h in b.column(at).to_pylist()]
+            texts = [main_text(h, learned) for h in b.column(at).to_pylist()]
             kept = [c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*[n for n in names if n != html], "text", "n_chars"])
 

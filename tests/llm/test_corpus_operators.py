@@ -399,6 +399,35 @@ def test_min_cut_equals_enumeration():
         assert abs(cost(html_extract.min_cut(n, good, bad, ties)) - min(map(cost, itertools.product((True, False), repeat=n)))) < 1e-6
 
 
+def test_shape_classifier(spark):
+    """Learned from blocks with telling markup, it decides blocks without any; where nothing tells, the prior stays."""
+    long_, short = "this paragraph tells the reader at some length what has happened in the town. " * 3, "<li><a href=x>one link of the menu or other that is rather long</a></li>"
+    told = [f"<nav><ul>{short * (3 + k % 4)}</ul></nav><article><h1>Title {k}</h1>" + f"<p>{long_}</p>" * (2 + k % 3) + "</article>" for k in range(60)]
+    p = spark.createDataFrame([(t,) for t in told] + [(None,), ("",)], "html string")
+    w = html_extract.fit(p)
+    assert w == html_extract.fit(p.union(p)) and w[1] < html_extract.PRIOR[1] + 0.5 and w[3] > 0
+    assert html_extract.fit(p.limit(0)) == html_extract.PRIOR == html_extract.fit(p.filter("html is null"))
+    bare = f"<div><ul>{short * 4}</ul></div><div><p>{long_}</p><p>{long_}</p></div>"
+    assert html_extract.main_text(bare, w) == " ".join((long_ * 2).split())
+
+
+def test_shape_weights_minimise(spark):
+    """The learned weights are no worse than weights close by."""
+    rng = np.random.default_rng(3)
+    kinds = [(int(rng.integers(9)), int(rng.integers(17)), bool(rng.integers(2)), bool(rng.integers(2)), int(rng.integers(1, 50))) for _ in range(80)]
+    w = np.array(html_extract.learn(kinds, 20.0))
+    good, bad = (sum(k[4] for k in kinds if k[3] == side) for side in (True, False))
+
+    def loss(v):
+        total = 10.0 * ((v - np.array(html_extract.PRIOR)) ** 2).sum()
+        for share, size, heading, content, n in kinds:
+            z = float(np.dot(v, html_extract.shape(share / 8, 25 * size + 12 if size < 16 else 400, heading)))
+            total += n / (good if content else bad) * min(good + bad, 2000) / 2 * np.log1p(np.exp(-z if content else z))
+        return total
+
+    assert all(loss(w) <= loss(w + 0.05 * rng.normal(size=5)) + 1e-6 for _ in range(50))
+
+
 def test_extract_keeps_columns(spark):
     p = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_extract.extract(p).orderBy("page_id").collect()
