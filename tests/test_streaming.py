@@ -33,7 +33,7 @@ def test_stream_of_attempts_equals_batch(spark, shared):
 
 
 def test_token_bucket(spark, shared):
-    rows = [("e.com", n, ((pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()).to_pydatetime()) for n, s in enumerate([0, 0, 0, 0, 0, 10])]
+    rows = [("e.com", n, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()) for n, s in enumerate([0, 0, 0, 0, 0, 10])]
     df = spark.createDataFrame(rows, "host string, request_id long, ts timestamp")
     with flows.rocksdb(spark):
         out = flows.drain(flows.pace_requests(as_stream(spark, shared, df), rate=1.0, burst=3, most_wait=1.5))
