@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontaminate, dedup, html_extract, mix, ngram_join, pii, quality, token_counts, toxicity, warc
+from matchloom.llm import alignment, decontaminate, dedup, html_extract, merkle, mix, ngram_join, pii, quality, substring, token_counts, toxicity, warc
 from matchloom.llm.common import held_out
 
 #: Deployments pass their own secret; the registered query needs a fixed one.
@@ -75,6 +75,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with tampered rows found by their proofs."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"), claim=merkle.tampered)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over all documents."""
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller doc_id has too, removed from all documents."""
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op4_toxicity": op4_toxicity,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,6 +132,51 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
         FROM b""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE bits AS MATERIALIZED (SELECT doc_id, encode(doc_id::VARCHAR) AS b FROM documents),
+        table_ AS MATERIALIZED (WITH RECURSIVE c AS (SELECT range AS k, range::UINTEGER AS v, 0 AS s FROM range(256)
+            UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END, s + 1 FROM c WHERE s < 8)
+          SELECT list(v ORDER BY k) AS t FROM c WHERE s = 8),
+        crc AS MATERIALIZED (WITH RECURSIVE c AS (SELECT doc_id, b, 4294967295::UINTEGER AS v, 0 AS i FROM bits
+            UNION ALL SELECT doc_id, b, xor(v >> 8, t[1 + xor(v & 255, ascii(decode(b)[i + 1])::UINTEGER)]), i + 1 FROM c, table_ WHERE i < octet_length(b))
+          SELECT doc_id, xor(v, 4294967295::UINTEGER)::BIGINT AS t FROM c WHERE i = octet_length(b)),
+        f AS (SELECT doc_id, lang, crc.t % 7 = 0 AS hit,
+            coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+              || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS front,
+            coalesce(octet_length(encode(text)) || ':' || text, '-') AS back, n_chars
+          FROM documents JOIN crc USING (doc_id)),
+        leaf AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(front || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS h,
+            sha256(front || coalesce(length((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || back) AS told FROM f),
+        ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS k FROM leaf),
+        low AS MATERIALIZED (WITH RECURSIVE n AS (SELECT g, 0 AS lv, k, h, count(*) OVER (PARTITION BY g) AS n FROM ord
+            UNION ALL SELECT g, lv + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 1) // 2 FROM n WHERE n > 1 GROUP BY g, lv, k // 2)
+          SELECT * FROM n),
+        roots AS MATERIALIZED (SELECT g, h, lv AS height, row_number() OVER (ORDER BY g) - 1 AS k FROM low WHERE n = 1),
+        high AS MATERIALIZED (WITH RECURSIVE n AS (SELECT 0 AS lv, k, h, count(*) OVER () AS n FROM roots
+            UNION ALL SELECT lv + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 1) // 2 FROM n WHERE n > 1 GROUP BY lv, k // 2)
+          SELECT * FROM n),
+        steps AS MATERIALIZED (
+          SELECT o.doc_id, l.lv, (o.k >> l.lv) & 1 AS side, coalesce(l2.h, '') AS other
+          FROM ord o JOIN roots r ON r.g = o.g JOIN low l ON l.g = o.g AND l.k = o.k >> l.lv AND l.lv < r.height LEFT JOIN low l2 ON l2.g = l.g AND l2.lv = l.lv AND l2.k = xor(l.k, 1)
+          UNION ALL
+          SELECT o.doc_id, r.height + l.lv, (r.k >> l.lv) & 1, coalesce(l2.h, '')
+          FROM ord o JOIN roots r ON r.g = o.g JOIN high l ON l.k = r.k >> l.lv AND l.n > 1 LEFT JOIN high l2 ON l2.lv = l.lv AND l2.k = xor(l.k, 1)),
+        way AS MATERIALIZED (SELECT doc_id, list({'s': side, 'o': other} ORDER BY lv) AS w, sha256(string_agg(other, '' ORDER BY lv)) AS p FROM steps GROUP BY doc_id),
+        folded AS (WITH RECURSIVE c AS (SELECT o.doc_id, o.told AS h, 1 AS i, coalesce(w, []) AS w FROM ord o LEFT JOIN way USING (doc_id)
+            UNION ALL SELECT doc_id, sha256(CASE WHEN w[i].s = 1 THEN w[i].o || h ELSE h || w[i].o END), i + 1, w FROM c WHERE i <= len(w))
+          SELECT doc_id, h FROM c WHERE i = len(w) + 1)
+        SELECT o.doc_id, o.h AS leaf, r.h AS subroot, t.h AS root, coalesce(w.p, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+        FROM ord o JOIN roots r ON r.g = o.g JOIN high t ON t.n = 1 LEFT JOIN way w ON w.doc_id = o.doc_id JOIN folded f ON f.doc_id = o.doc_id""",
+    "op13_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, s, hash(list_slice(w, s, s + 49)::VARCHAR) AS a, md5_number_lower(array_to_string(list_slice(w, s, s + 49), ' ')) AS b
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+        late AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY a, b) AS least FROM win) WHERE least < doc_id),
+        gone AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS k FROM late),
+        per AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+        word AS (SELECT d.doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d JOIN per USING (doc_id)),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k WHERE gone.k IS NULL GROUP BY word.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+          sha256(CASE WHEN ks IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+        FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
-
-
