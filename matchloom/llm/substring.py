@@ -273,6 +273,59 @@ def _shared_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from flush(pa.Table.from_batches(held), True)
 
 
+def _pair(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return mix64(anchor.view(np.uint64) * _K[0] + digest.view(np.uint64) * _K[1])
+
+
+def _borders(ends: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of the anchors at partition borders: anchor, smallest and largest document, whether words differ; of their words: sorted keys, anchor, digest, smallest and largest document."""
+    anchor, digest, m, z, low, high, mixed = (c.to_numpy() for c in ends.columns)
+    names, at = np.unique(anchor, return_inverse=True)
+    a_low, a_high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+    np.minimum.at(a_low, at, low)
+    np.maximum.at(a_high, at, high)
+    d_low, d_high, a_mixed = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min), np.zeros(len(names), bool)
+    np.minimum.at(d_low, at, digest)
+    np.maximum.at(d_high, at, digest)
+    np.logical_or.at(a_mixed, at, mixed.astype(bool))
+    words, first, of = np.unique(np.stack([anchor, digest], 1), axis=0, return_index=True, return_inverse=True) if len(anchor) else (np.zeros((0, 2), np.int64), np.zeros(0, int), np.zeros(0, int))
+    w_m, w_z = np.full(len(words), np.iinfo(np.int64).max), np.full(len(words), np.iinfo(np.int64).min)
+    np.minimum.at(w_m, of.ravel(), m)
+    np.maximum.at(w_z, of.ravel(), z)
+    key = _pair(np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]))
+    order = np.argsort(key)
+    return names, a_low, a_high, a_mixed | (d_low < d_high), key[order], words[order, 0], words[order, 1], w_m[order], w_z[order]
+
+
+_FOUND = "anchor long, digest long, doc_id long, row long, low int, high int, m long, z long, head boolean, mixed boolean"
+
+
+def _settled(borders):
+    """Segments whose anchor several documents have, with what the borders tell of those that go on in other partitions."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors_, low, high, differ, keys, k_anchor, k_digest, w_m, w_z = borders.value
+        for b in batches:
+            edge = np.asarray(b.column("edge").to_numpy(zero_copy_only=False), bool)
+            keep = np.asarray(b.column("shared").to_numpy(zero_copy_only=False), bool).copy()
+            mixed = np.asarray(b.column("mixed").to_numpy(zero_copy_only=False), bool).copy()
+            m, z = b.column("m").to_numpy().copy(), b.column("z").to_numpy().copy()
+            e = np.flatnonzero(edge)
+            if len(e):
+                anchor, digest = b.column("anchor").to_numpy()[e], b.column("digest").to_numpy()[e]
+                at = np.searchsorted(anchors_, anchor)
+                keep[e], mixed[e] = low[at] < high[at], differ[at]
+                key = _pair(anchor, digest)
+                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                same = (k_anchor[k] == anchor) & (k_digest[k] == digest)  # other words lie in one partition only
+                m[e[same]], z[e[same]] = w_m[k[same]], w_z[k[same]]
+            out = [b.column(n) for n in names[:6]] + [pa.array(m), pa.array(z), b.column("head"), pa.array(mixed)]
+            yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(keep))
+
+    return run
+
+
 def _windows(window: int):
     names = ["w1", "w2", "anchor", "digest", "off", "m", "z"]
 
@@ -356,18 +409,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sorted_ = segments.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     near = written(sorted_.mapInArrow(_shared_anchors, _SHARED), "shared")
     # Anchors at partition borders: two anchors a partition, two kinds of words an anchor at most.
-    ends = near.filter("part >= 0")
-    by_anchor = ends.groupBy("anchor").agg(F.min("a_low").alias("e_low"), F.max("a_high").alias("e_high"), (F.max("mixed") | (F.min("digest") < F.max("digest"))).alias("e_mixed"))
-    by_words = ends.groupBy("anchor", "digest").agg(F.min("m").alias("e_m"), F.max("z").alias("e_z"), F.min("part").alias("e_part"))
-    edge = F.col("edge")
-    met = near.filter("edge").join(F.broadcast(by_anchor), "anchor").join(F.broadcast(by_words), ["anchor", "digest"], "left")
-    met = met.filter("e_low < e_high").select(
-        "anchor", "digest", "doc_id", "row", "low", "high", F.coalesce("e_m", "m").alias("m"), F.coalesce("e_z", "z").alias("z"),
-        # One of the parts that hold these words asks for their windows; more would do no harm.
-        "head", F.col("e_mixed").alias("mixed"),
-    )
-    inner = near.filter(~edge & F.col("shared")).select("anchor", "digest", "doc_id", "row", "low", "high", "m", "z", "head", "mixed")
-    found = inner.unionByName(met)
+    ends = near.filter("part >= 0").select("anchor", "digest", "m", "z", "a_low", "a_high", "mixed").toArrow()
+    found = written(near.mapInArrow(_settled(spark.sparkContext.broadcast(_borders(ends))), _FOUND), "found")
+    remove_folder(spark, f"{folder}/shared")
 
     asked = found.filter("mixed and head").groupBy("row").agg(F.collect_list(F.struct("low", "high", "anchor", "digest", "m", "z")).alias("asked"))
     asked = written(asked, "asked")
@@ -379,7 +423,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     single = single.select("row", F.explode(F.expr("transform(filter(held, h -> h.least < doc_id), h -> struct(low + h.off AS a, low + h.off + %d AS z))" % window)).alias("span"))
     whole = found.filter("not mixed and m < doc_id").select("row", F.struct(F.col("low").alias("a"), (F.col("high") + window).alias("z")).alias("span"))
     spans = written(whole.unionByName(single).groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
-    for name in ("segments", "shared", "asked", "windows", "least", "held"):
+    for name in ("segments", "found", "asked", "windows", "least", "held"):
         remove_folder(spark, f"{folder}/{name}")
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
