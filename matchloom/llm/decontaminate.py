@@ -2,7 +2,9 @@
 
 Numbers, names and units of a text are replaced by typed placeholders, runs of
 ``k`` template tokens are hashed, and documents' windows are hash-joined to the
-benchmark's.  Windows at one alignment must fill the placeholders consistently:
+benchmark's.  Windows of fewer than two literal tokens, such as those of a table
+of numbers, are hashed with their values instead, so they match copies only.
+Windows at one alignment must fill the placeholders consistently:
 one benchmark value stands for the document value that it has in more than half
 of its places, or for itself; windows with another value are left out, the rest
 of the alignment counts.  So an item is found when it is copied, in part or
@@ -17,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from matchloom.llm.common import ALNUM, cut, gram_hashes, slices, slot_of, text_
 K = 8
 SHORTEST = 4
 BITS = 22
+#: A window needs so many tokens that are no placeholders to match other values than its own.
+LITERALS = 2
 #: Windows of a benchmark up to this many rows are broadcast (counted first); larger ones are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 # Unit names and symbols.
@@ -35,15 +40,17 @@ _NUMBER = re.compile(rb"\d+(?:[.,:/]\d+)*")
 #: A capitalised word inside a sentence, with those that follow it.
 _NAME = re.compile(rb"(?<=[a-z0-9,;] )[A-Z][a-z]+(?: [A-Z][a-z]+)*")
 _UNIT = re.compile(rb"[ ]?([A-Za-z]+\d?|%)")
+_BARE = np.uint64(0x6261726500000001)
 _TYPES = np.array([0x6E756D6265720001, 0x6E616D6500000001, 0x756E697400000001], np.uint64)
 
 
-def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
-    """Template tokens of several texts: hashes, text index, byte start, and the values of the placeholders by token position."""
+def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str], np.ndarray]:
+    """Template tokens of several texts: hashes, text index, byte start, the values of the placeholders by token position, and hashes of tokens and values."""
     h, row, start, end = word_hashes(texts, ALNUM)
     data = b"\n".join(texts) + b"\n"
     keep = np.ones(len(h), bool)
     slots: dict[int, str] = {}
+    values = h.copy()
     spans = [(m.start(), m.end(), 0) for m in _NUMBER.finditer(data)] + [(m.start(), m.end(), 1) for m in _NAME.finditer(data)]
     for a, b, kind in sorted(spans):
         i, j = np.searchsorted(start, a), np.searchsorted(start, b)
@@ -61,24 +68,31 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, di
         h[i] = _TYPES[kind]
         keep[i + 1 : j] = False
         slots[int(i)] = data[a:b].decode(errors="replace").lower()
+        values[i] = xxhash.xxh3_64_intdigest(data[a:b].lower())
         if unit is not None and unit.start(1) > b and unit[1] != b"%":
             u = np.searchsorted(start, unit.start(1))
             if u < len(start) and start[u] == unit.start(1) and end[u] == unit.end(1):
                 h[u] = _TYPES[2]
                 slots[int(u)] = unit[1].decode().lower()
     if keep.all():
-        return h, row, start, slots
+        return h, row, start, slots, values
     place = np.cumsum(keep) - 1
-    return h[keep], row[keep], start[keep], {int(place[i]): v for i, v in slots.items() if keep[i]}
+    return h[keep], row[keep], start[keep], {int(place[i]): v for i, v in slots.items() if keep[i]}, values[keep]
 
 
 def windows(texts: list[bytes], lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict[int, str], np.ndarray]]:
     """For each window length: length, hashes, text index, first token, placeholders, tokens before each text."""
-    h, row, _, slots = template(texts)
+    h, row, _, slots, values = template(texts)
+    literal = np.ones(len(h), np.int64)
+    literal[list(slots)] = 0
+    literals = np.concatenate([[0], np.cumsum(literal)])
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     for k in lengths:
         g = gram_hashes(h, k)
         at = np.arange(len(g))
+        bare = literals[at + k] - literals[at] < min(LITERALS, k)
+        if bare.any():
+            g = np.where(bare, gram_hashes(values, k) ^ _BARE, g)
         ok = row[at] == row[at + k - 1] if len(g) else np.zeros(0, bool)
         yield k, g[ok] + np.uint64(k), row[at[ok]], at[ok], slots, first
 

@@ -4,7 +4,10 @@ A page becomes a list of text blocks.  Each block has a cost for being called
 content and one for being called boilerplate; these are the terminal
 capacities.  They add the evidence of its markup (tags and attribute words,
 fixed weights) to the log-odds of a logistic classifier of its shape (length,
-link density, heading).  Pages carry no labels, so the classifier is fitted by
+link density, heading).  A mark counts by where it stands: on an element around
+the article, or around most of the page's text, it says nothing of the text;
+below the article it tells what does not belong to it; and text outside is
+held against the article if there is one.  Pages carry no labels, so the classifier is fitted by
 self-training: on a bounded sample of pages it learns the shape of the blocks
 whose markup leaves no doubt.  Neighbouring blocks, and more so blocks under
 the same parent element, are tied by smoothness edges.  The minimum cut
@@ -37,11 +40,15 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILER_TAGS = frozenset("nav aside footer form menu button select option dialog input label fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Tags that some pages put around everything.
+AROUND_TAGS = frozenset("form fieldset label menu".split())
 # Words of class, id and role attributes.
 BOILER_WORDS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments reply replies disqus respond share sharing social related recommended recommendations widget toolbar search pagination pager copyright legal skip tags".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
+#: Elements of article kind that hold what readers say.
+TALK_WORDS = frozenset("comment comments reply replies respond disqus".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -54,27 +61,76 @@ _RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 class Block:
     text: str
     parent: int
-    boiler: int  # enclosing elements that speak for boilerplate
+    boiler: int  # marks of enclosing elements that speak for boilerplate
     content: int  # ... for content
     linked: int  # characters inside links
     heading: bool
+    below: bool = False  # marked as boilerplate below the article
+    outside: bool = False  # outside the article of a page that has one
+    marked: tuple[int, ...] = ()  # enclosing elements with marks
 
 
-def _attr_marks(attrs: str) -> tuple[int, int]:
+@dataclass(slots=True)
+class Mark:
+    """What an element's tag and attributes say."""
+
+    words: int
+    tag: int
+    content: int
+    article: bool
+    around: bool
+    talk: bool
+    hidden: bool
+    size: int = 0  # characters of all blocks in it
+
+
+#: An element that holds a larger share of the page's text is a wrapper; an article of at least so large a share is the page's article.
+WRAPPER, ARTICLE = 0.6, 0.3
+
+
+def _attr_marks(attrs: str) -> tuple[int, int, bool]:
+    """How many attributes have words of boilerplate and of content, and whether one speaks of readers' comments."""
     if "=" not in attrs:
-        return 0, 0
+        return 0, 0, False
     boiler = content = 0
+    talk = False
     for m in _ATTR.finditer(attrs):
         words = set(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
         boiler += bool(words & BOILER_WORDS)
         content += bool(words & CONTENT_WORDS)
-    return boiler, content
+        talk |= bool(words & TALK_WORDS)
+    return boiler, content, talk
+
+
+def weigh_marks(found: list[Block], marks: dict[int, Mark]) -> None:
+    """Set what each block's enclosing elements say, now that it is known how much of the page each of them holds."""
+    total = sum(len(b.text) for b in found)
+    for b in found:
+        for k in b.marked:
+            marks[k].size += len(b.text)
+    articles = [k for k, m in marks.items() if m.article and not m.hidden]
+    articles = [k for k in articles if not marks[k].talk] or articles
+    main = max(articles, key=lambda k: (marks[k].size, k), default=None)
+    leads = main is not None and marks[main].size >= ARTICLE * total
+    for b in found:
+        inside = b.marked.index(main) if main in b.marked else -1
+        b.boiler = b.content = 0
+        for place, k in enumerate(b.marked):
+            m = marks[k]
+            wrapper = m.size > WRAPPER * total
+            b.content += m.content if not m.words or wrapper or k == main else 0
+            words = 0 if place <= inside or wrapper else m.words
+            tag = 0 if place < inside or wrapper and m.around else m.tag
+            b.boiler += words + tag + 2 * m.hidden
+            b.below |= place > inside >= 0 and words + tag > 0
+        b.outside = leads and not any(marks[k].article for k in b.marked)
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order.  Markup may be broken: unclosed elements are closed where the HTML rules close them."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, element number, boiler, content
+    stack: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]  # name, element number, elements with marks
+    marks: dict[int, Mark] = {}
     number, at, text, linked, links = 0, 0, [], 0, 0
 
     def close_block() -> None:
@@ -84,10 +140,10 @@ def blocks(html: str) -> list[Block]:
             at_owner = len(stack) - 1
             while at_owner and stack[at_owner][0] in INLINE:
                 at_owner -= 1
-            _, _, boiler, content = stack[-1]
             parent = stack[at_owner - 1][1] if at_owner else 0
             joined = " ".join(words)
-            out.append(Block(joined, parent, boiler, content, min(linked, len(joined)), stack[at_owner][0] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            heading = stack[at_owner][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+            out.append(Block(joined, parent, 0, 0, min(linked, len(joined)), heading, marked=stack[-1][2]))
         text, linked = [], 0
 
     def pop_to(k: int) -> None:
@@ -144,16 +200,17 @@ def blocks(html: str) -> list[Block]:
                             break
             if m[3].endswith("/"):
                 continue
-            boiler, content = _attr_marks(m[3])
+            boiler, content, talk = _attr_marks(m[3])
             if boiler and name in ("html", "body"):
                 boiler = 0
-            _, _, b0, c0 = stack[-1]
-            boiler += name in BOILER_TAGS or name == "header" and not c0
-            content = min(content, 1) + 2 * (name in CONTENT_TAGS)
-            if _HIDDEN.search(m[3]):
-                boiler += 2
+            _, _, marked = stack[-1]
+            in_article = any(marks[k].article for k in marked)
+            mark = Mark(boiler, int(name in BOILER_TAGS or name == "header" and not in_article), min(content, 1) + 2 * (name in CONTENT_TAGS), name in CONTENT_TAGS, name in AROUND_TAGS, talk, bool(_HIDDEN.search(m[3])))
             number += 1
-            stack.append((name, number, b0 + boiler, c0 + content))
+            if mark.words or mark.tag or mark.content or mark.hidden:
+                marks[number] = mark
+                marked = (*marked, number)
+            stack.append((name, number, marked))
             links += name == "a"
             is_open[name] += 1
         elif is_open[name]:
@@ -164,6 +221,7 @@ def blocks(html: str) -> list[Block]:
                     pop_to(k)
                     break
     close_block()
+    weigh_marks(out, marks)
     return out
 
 
@@ -182,7 +240,7 @@ def costs(b: Block, weights: Sequence[float] = PRIOR) -> tuple[float, float]:
     """Cost of calling the block content, and of calling it boilerplate."""
     z = sum(w * f for w, f in zip(weights, shape(b.linked / len(b.text), len(b.text), b.heading)))
     z = min(max(z, LOWEST), HIGHEST)
-    return 4.0 * min(b.boiler, 2) + max(-z, 0.0), 1.5 * min(b.content, 2) + max(z, 0.0)
+    return 4.0 * min(b.boiler, 2) + 8.0 * b.below + 4.0 * b.outside + max(-z, 0.0), 1.5 * min(b.content, 2) + max(z, 0.0)
 
 
 def min_cut(n: int, source: list[float], sink: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -253,13 +311,14 @@ def content_flags(found: list[Block], weights: Sequence[float] = PRIOR, near: fl
     if not found:
         return []
     cost = [costs(b, weights) for b in found]
+    apart = [b.boiler > 0 or b.outside for b in found]
     # Blocks next to each other on the page, loosely where one of them alone stands in boilerplate elements, ...
-    ties = [(i, i + 1, near if (found[i].boiler > 0) == (found[i + 1].boiler > 0) else near / 6) for i in range(len(found) - 1)]
+    ties = [(i, i + 1, near if apart[i] == apart[i + 1] else near / 6) for i in range(len(found) - 1)]
     # ... and blocks next to each other under one parent element.
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         j = last.get(b.parent)
-        if j is not None and (found[j].boiler > 0) == (b.boiler > 0):
+        if j is not None and apart[j] == apart[i]:
             ties.append((j, i, parent))
         last[b.parent] = i
     return min_cut(len(found), [g for _, g in cost], [b for b, _ in cost], ties)
