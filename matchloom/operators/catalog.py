@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from matchloom.functions.seniority import seniority_from_title
 from matchloom.functions.text import content_hash
 from matchloom.functions.urls import canonical_key_for_url
+from matchloom.operators.ranks import WINDOW_ROWS, largest_group, numbered
+from matchloom.operators.shared import hinted, written
 from matchloom.operators.store import COALESCE_NEW, KEEP_OLD, upsert
 from matchloom.schemas import POSTING_EXTRACTION_VERSION
 
@@ -169,19 +171,34 @@ def needs_preparation(postings: DataFrame, limit: int | None = None, version: in
 
 
 def disallowed(frontier: DataFrame, rules: DataFrame) -> DataFrame:
-    """Frontier rows (host, path) their host forbids; of the rules (host, seq, allow, prefix) the first that fits counts, none allows."""
-    fitting = frontier.select("url", "host", "path").join(rules, "host").filter(F.expr("startswith(path, prefix)"))
-    first = fitting.groupBy("url").agg(F.min_by("allow", "seq").alias("allow"))
+    """Frontier rows (host, path) their host forbids; of the rules (host, seq, allow, prefix) the first that fits counts, none allows.
+
+    A path is looked up by its beginnings of the lengths that the host's rules
+    have, so it meets the rules that fit and no others, however many a host
+    has.  Rules are read twice.
+    """
+    known = rules.filter("host IS NOT NULL AND prefix IS NOT NULL").groupBy("host", "prefix").agg(F.min_by("allow", "seq").alias("allow"), F.min("seq").alias("seq"))
+    lengths = written(rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths")))
+    pieces = frontier.select("url", "host", "path").join(hinted(lengths), "host")
+    pieces = pieces.select("url", "host", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("prefix"))
+    first = pieces.join(written(known).hint("merge"), ["host", "prefix"]).groupBy("url").agg(F.min_by("allow", "seq").alias("allow"))
     return first.filter(~F.col("allow")).select("url")
 
 
 def allowed(frontier: DataFrame, rules: DataFrame) -> DataFrame:
-    return frontier.join(disallowed(frontier, rules), "url", "left_anti")
+    return frontier.join(disallowed(frontier, rules).hint("merge"), "url", "left_anti")
+
 
+def pace(frontier: DataFrame, t0: Column, rate: float = 1.0, burst: int = 3, most_wait: float = 10.0, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Start time of each request of a batch that is ready at ``t0``: the k-th of a host waits max(0, (k - burst) / rate) seconds.
 
-def pace(frontier: DataFrame, t0: Column, rate: float = 1.0, burst: int = 3, most_wait: float = 10.0) -> DataFrame:
-    """Start time of each request of a batch that is ready at ``t0``: the k-th of a host waits max(0, (k - burst) / rate) seconds."""
-    w = Window.partitionBy("host").orderBy("url")
-    k = F.row_number().over(w)
-    wait = F.greatest(F.lit(0.0), (k - burst) / rate)
-    return frontier.withColumn("wait_s", wait).withColumn("starts_at", (t0.cast("timestamp").cast("double") + F.col("wait_s")).cast("timestamp")).withColumn("released", F.col("wait_s") > most_wait)
+    Hosts of more than ``window_rows`` requests are numbered over sorted
+    ranges, so that they do not meet in one task.
+    """
+    if largest_group(frontier, ["host"]) > window_rows:
+        placed = numbered(frontier, ["host"], ["url"], "_k")
+    else:
+        placed = frontier.withColumn("_k", F.row_number().over(Window.partitionBy("host").orderBy("url")))
+    wait = F.greatest(F.lit(0.0), (F.col("_k") - burst) / rate)
+    placed = placed.withColumn("wait_s", wait).drop("_k")
+    return placed.withColumn("starts_at", (t0.cast("timestamp").cast("double") + F.col("wait_s")).cast("timestamp")).withColumn("released", F.col("wait_s") > most_wait)

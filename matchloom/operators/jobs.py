@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from matchloom.functions.classify import RETRY_LIMIT, retry_delay
 from matchloom.functions.text import ERROR_CHARS, strip
 from matchloom.functions.urls import dedupe_key, hash_url, normalize_url
+from matchloom.operators.ranks import WINDOW_ROWS, largest_group, numbered, running_sum
 
 IN_FLIGHT = ("queued", "running")
 BATCH_CAP, OPEN_BATCHES = 500, 3
 
 
-def parse_url_lines(lines: DataFrame, cap: int = BATCH_CAP) -> DataFrame:
+def parse_url_lines(lines: DataFrame, cap: int = BATCH_CAP, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Outcome of every non-blank line (batch_id, line_no, line): accepted, duplicate, rejected or over_cap.
 
     The first line of a URL counts; the cap falls after duplicates are gone.
+    Where a batch has more than ``window_rows`` lines, places come from sorted
+    ranges instead of windows, so that it does not meet in one task.
     """
+    large = largest_group(lines, ["batch_id"]) > window_rows
     rows = lines.filter(strip(F.col("line")) != "").withColumn("url", normalize_url(F.col("line")))
-    same = Window.partitionBy("batch_id", "url").orderBy("line_no")
-    rows = rows.withColumn("_first", F.col("url").isNotNull() & (F.row_number().over(same) == 1))
-    order = Window.partitionBy("batch_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_nth", F.sum(F.col("_first").cast("int")).over(order))
+    if large:
+        rows = numbered(rows, ["batch_id", "url"], ["line_no"], "_k").withColumn("_first", F.col("url").isNotNull() & (F.col("_k") == 1)).drop("_k")
+        rows = running_sum(rows.withColumn("_one", F.col("_first").cast("int")), ["batch_id"], ["line_no"], "_one", "_nth").drop("_one")
+    else:
+        same = Window.partitionBy("batch_id", "url").orderBy("line_no")
+        rows = rows.withColumn("_first", F.col("url").isNotNull() & (F.row_number().over(same) == 1))
+        order = Window.partitionBy("batch_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_nth", F.sum(F.col("_first").cast("int")).over(order))
     outcome = F.when(F.col("url").isNull(), "rejected").when(~F.col("_first"), "duplicate").when(F.col("_nth") > cap, "over_cap").otherwise("accepted")
     return rows.withColumn("outcome", outcome).drop("_first", "_nth")
 

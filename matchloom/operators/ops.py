@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.classify import FAILURE_LIMIT, freshness, human_age, queue_verdict
+from matchloom.operators.ranks import WINDOW_ROWS, largest_group, selected
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -47,15 +50,29 @@ def queue_overview(declared: DataFrame, depths: DataFrame, workers: DataFrame) -
     return rows.withColumn("verdict", queue_verdict(F.col("declared"), F.col("workers"), F.col("depth"))).orderBy("queue")
 
 
-def latency_summary(samples: DataFrame, value: str, *by: str) -> DataFrame:
-    """Exact n, mean, interpolated median, and nearest-rank p95 and p99 (the int(n q)-th smallest).  ``by`` groups should be bounded; see :func:`latency_approx`."""
-    rows = samples.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    ranked = rows.select(*by, F.col(value).alias("v"), F.row_number().over(w).alias("rn"), n.alias("n"))
-    at = lambda q: F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.floor(F.col("n") * q)), F.col("v")))
-    middle = F.avg(F.when((F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.floor(F.col("n") / 2) + 1), F.col("v")))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.avg("v").alias("mean"), middle.alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+def latency_summary(samples: DataFrame, value: str, *by: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Exact n, mean, interpolated median, and nearest-rank p95 and p99 (the int(n q)-th smallest); nulls do not count.
+
+    Groups of more than ``window_rows`` samples are ranked over sorted ranges
+    instead of in one task each.
+    """
+    if largest_group(samples, by) <= window_rows:
+        rows = samples.filter(F.col(value).isNotNull())
+        whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        ranked = rows.select(*by, F.col(value).alias("v"), F.row_number().over(whole.orderBy(value)).alias("rn"), F.count("*").over(whole).alias("n"))
+        nth = lambda k: F.max(F.when(F.col("rn") == k, F.col("v")))
+        n = F.col("n")
+        low, high = nth(F.floor((n + 1) / 2)), nth(F.floor(n / 2) + 1)
+        return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.avg("v").alias("mean"), ((low + high) / 2).alias("p50"), *[nth(F.greatest(F.lit(1), F.floor(n * q))).alias(name) for name, q in (("p95", 0.95), ("p99", 0.99))])
+    n = F.col("n")
+    at = lambda q: F.greatest(F.lit(1), F.floor(n * q))
+    found = selected(samples, by, value, {"_low": F.floor((n + 1) / 2), "_high": F.floor(n / 2) + 1, "p95": at(0.95), "p99": at(0.99)})
+    means = samples.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
+    if not by:
+        return found.select("n", F.lit(means.first()["mean"]).alias("mean"), ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95", "p99")
+    means = means.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by)], "mean")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(by)])
+    return found.join(means.hint("merge"), same).select(*by, "n", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95", "p99")
 
 
 def latency_approx(samples: DataFrame, value: str, *by: str, accuracy: int = 10_000) -> DataFrame:
