@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from matchloom import schemas
 from matchloom.functions import registry, skills, text, urls
-from matchloom.operators import catalog, feed, jobs, maintenance, ops, profiles, recall, store
+from matchloom.operators import buckets, catalog, feed, jobs, maintenance, ops, profiles, recall, store
+from matchloom.operators.shared import written
 from matchloom.plans import bindings as b
 from matchloom.plans.registry import query
 from matchloom.sources import texts
@@ -138,12 +139,21 @@ def crawl_completeness(spark: SparkSession, d: str) -> DataFrame:
     return catalog.completeness(pages).select("source_id", "complete")
 
 
-@query("robots_allowed", "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM pages) WHERE path LIKE '/en%' OR NOT (path LIKE '/e%' OR path LIKE '/de/1%')")
+_PATHS = "p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM pages)"
+
+
+@query(
+    "robots_allowed",
+    f"""WITH {_PATHS}, r AS (SELECT host, page_id AS seq, page_id % 5 < 2 AS allow, left(path, CAST(3 + page_id % 11 AS INTEGER)) AS prefix FROM p WHERE page_id % 3 = 1),
+f AS (SELECT p.page_id, arg_min(r.allow, r.seq) AS allow FROM p JOIN r ON r.host = p.host AND starts_with(p.path, r.prefix) GROUP BY 1)
+SELECT page_id FROM p WHERE page_id NOT IN (SELECT page_id FROM f WHERE NOT allow)""",
+)
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that the rules of their host let through; of the rules that fit, the first counts."""
-    f = b.table(spark, d, "pages").select("page_id", "url", urls.domain_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1).alias("path"))
-    rules = F.expr("inline(array(struct(1 AS seq, true AS allow, '/en' AS prefix), struct(2 AS seq, false AS allow, '/e' AS prefix), struct(3 AS seq, false AS allow, '/de/1' AS prefix)))")
-    return catalog.allowed(f, f.select("host").distinct().select("host", rules)).select("page_id")
+    """Pages that the rules of their host let through; a third of all pages give a rule over the beginning of their path."""
+    f = b.table(spark, d, "pages").select("page_id", F.concat_ws("#", "page_id", "url").alias("url"), urls.domain_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1).alias("path"))
+    f = written(f)
+    rules = f.filter("page_id % 3 = 1").select("host", F.col("page_id").alias("seq"), (F.col("page_id") % 5 < 2).alias("allow"), F.expr("left(path, cast(3 + page_id % 11 as int))").alias("prefix"))
+    return catalog.allowed(f, rules).select("page_id")
 
 
 @query("stale_extractions", b.with_(b.SQL_POSTINGS) + "SELECT posting_id FROM postings WHERE extraction_version IS NULL")
@@ -164,12 +174,13 @@ def needs_preparation(spark: SparkSession, d: str) -> DataFrame:
     + """SELECT canonical_key, CASE WHEN length(body) >= 200 AND (NOT old OR new_hash <> old_hash) THEN new_hash ELSE old_hash END AS content_hash, CAST(CASE WHEN old AND (length(body) < 200 OR new_hash = old_hash) THEN 2 END AS INTEGER) AS extraction_version FROM h WHERE old OR length(body) >= 200""",
 )
 def stream_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The documents streamed into a stored catalog that holds every second one."""
+    """The documents streamed in three batches into a bucketed catalog that holds every second one."""
     root = flows.shared_folder(spark)
-    s = store.SnapshotStore(spark, f"{root}/store")
-    s.write("postings", _catalog(spark, d))
+    s = buckets.BucketStore(spark, f"{root}/store")
+    s.create("postings", _catalog(spark, d), ["canonical_key"], 8)
+    b.table(spark, d, "documents").select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{root}/in")
     url = F.concat(F.lit("https://c.example.com/"), F.col("doc_id").cast("string"))
-    stream = flows.replay(spark, f"{d}/documents.parquet").select(url.alias("url"), F.col("doc_id").cast("string").alias("external_id"), _body().alias("content"), *_null("string", "title"), *_null("timestamp", "updated_at"), *_null("long", "source_id"))
+    stream = flows.replay(spark, f"{root}/in", 1).select(url.alias("url"), F.col("doc_id").cast("string").alias("external_id"), _body().alias("content"), *_null("string", "title"), *_null("timestamp", "updated_at"), *_null("long", "source_id"))
     flows.ingest_catalog(stream, s, lambda: "2001-06-01 00:00:00", f"{root}/log").awaitTermination()
     return s.read("postings").select("canonical_key", "content_hash", "extraction_version")
 

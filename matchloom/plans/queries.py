@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import classify, seniority, skills, text, urls, vectors
@@ -138,8 +138,6 @@ JOIN m USING (match_id) JOIN profiles p USING (profile_id) JOIN postings q USING
 )
 def feedback_saved(spark: SparkSession, d: str) -> DataFrame:
     """A user's tracker: feedback, matches, profiles and postings joined."""
-    from pyspark.sql import Window
-
     m = _feed(spark, d).withColumn("match_id", (F.row_number().over(Window.orderBy("profile_id", "feed_rank")) - 1).cast("long"))
     owned = b.profiles(spark, d).filter("user_id = 0").select("profile_id")
     return feed.saved_matches(b.feedback(spark, d), m, owned, b.postings(spark, d)).select("id", "match_id", "verdict", "profile_id", "posting_id")
@@ -538,11 +536,27 @@ def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
-@query("stream_status_counters", "SELECT status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1) GROUP BY 1")
+# Events in six batches of event time; every twentieth comes one batch late and as many come four batches late.
+_SLOT = "CAST(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) / ((SELECT epoch(max(ts)) - epoch(min(ts)) FROM events) / 6 + 1)) AS INTEGER)"
+_LATE = f"""WITH a AS (SELECT *, {_SLOT} + CASE event_id % 20 WHEN 3 THEN 1 WHEN 7 THEN 4 ELSE 0 END AS batch FROM events),
+w AS (SELECT b.batch, coalesce(epoch(max(a.ts)) - 600, 0) AS mark FROM (SELECT DISTINCT batch FROM a) b LEFT JOIN a ON a.batch < b.batch - 1 GROUP BY 1),
+kept AS (SELECT a.* FROM a JOIN w USING (batch) WHERE epoch(date_trunc('hour', ts)) + 3600 > mark)
+"""
+
+
+def _late_events(spark: SparkSession, d: str) -> DataFrame:
+    e = b.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("z")).first()
+    slot = F.floor((F.col("ts").cast("double") - ends["a"]) / ((ends["z"] - ends["a"]) / 6 + 1))
+    late = F.when(F.col("event_id") % 20 == 3, 1).when(F.col("event_id") % 20 == 7, 4).otherwise(0)
+    return flows.in_batches(e.withColumn("batch", (slot + late).cast("int")), "batch")
+
+
+@query("stream_status_counters", _LATE + "SELECT event_type AS status, date_trunc('hour', ts) AS window_start, count(*) AS n FROM kept GROUP BY 1, 2")
 def stream_status_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counters kept over the replayed stream, added up."""
-    s = flows.replay(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return flows.drain(flows.status_counters(s, "ts", "event_type", late="3650 days"), "complete").groupBy(F.col("event_type").alias("status")).agg(F.sum("n").alias("n"))
+    """Hourly counters over events that come in batches, some too late: those whose hour the watermark has closed are dropped."""
+    out = flows.drain(flows.status_counters(_late_events(spark, d), "ts", "event_type"), "update")
+    return out.groupBy(F.col("event_type").alias("status"), F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.max("n").alias("n"))
 
 
 @query("stream_dedupe", "SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id, event_type FROM events)")
@@ -561,10 +575,16 @@ r AS (SELECT user_id, event_id, n, t AS since, 3.0::DOUBLE AS tokens, 0.0::DOUBL
 SELECT CAST(user_id AS VARCHAR) AS host, event_id AS request_id, CAST(round(wait, 1) AS DOUBLE) AS wait_s, over_limit FROM r""",
 )
 def stream_pacing(spark: SparkSession, d: str) -> DataFrame:
-    """Waits of the events' users under a token bucket of two requests a day."""
-    s = flows.replay(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    """Waits of the events' users under a token bucket of two requests a day; the events come in four batches, and a last one moves the watermark past them."""
+    e = b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg(F.lit("-").alias("host"), F.lit(-1).cast("long").alias("request_id"), (F.max("ts") + F.expr("interval 3000 days")).alias("ts"))
+    batch = F.ntile(4).over(Window.orderBy("day"))
+    days = e.select(F.to_date("ts").alias("day")).distinct().select("day", batch.alias("batch"))  # a row per day
+    rows = e.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day").drop("day").unionByName(last.withColumn("batch", F.lit(5)))
+    s = flows.in_batches(rows, "batch")
     with flows.rocksdb(spark):
-        return flows.drain(flows.pace_requests(s, rate=2 / 86400, burst=3, most_wait=3600.0)).select("host", "request_id", F.round("wait_s", 1).alias("wait_s"), "over_limit")
+        out = flows.drain(flows.pace_requests(s, rate=2 / 86400, burst=3, most_wait=3600.0, late="1 day", slot_s=86400, idle_s=30 * 86400))
+    return out.filter("host <> '-'").select("host", "request_id", F.round("wait_s", 1).alias("wait_s"), "over_limit")
 
 
 @query(
@@ -594,10 +614,13 @@ def job_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return jobs.fold_lifecycle(e).select("job_id", "attempts", "status")
 
 
-@query("stream_depths", "SELECT queue, max(n) AS peak FROM (SELECT event_type AS queue, CAST(floor(value) AS BIGINT) AS n FROM events) GROUP BY 1")
+@query("stream_depths", _LATE + "SELECT event_type AS queue, date_trunc('hour', ts) AS window_start, CAST(floor(max(value)) AS BIGINT) AS peak, CAST(floor(arg_max(value, (ts, event_id))) AS BIGINT) AS last FROM kept WHERE value IS NOT NULL GROUP BY 1, 2")
 def stream_depths(spark: SparkSession, d: str) -> DataFrame:
-    s = flows.replay(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("queue"), F.floor("value").alias("depth"))
-    return flows.drain(flows.depth_series(s, "ts", "queue", "depth", late="3650 days"), "complete").groupBy("queue").agg(F.max("peak").alias("peak"))
+    """Peak and last depth of the windows that the watermark has closed or not, late samples dropped; the latest state of each window counts."""
+    s = _late_events(spark, d).filter("value is not null").select("ts", F.col("event_type").alias("queue"), F.floor("value").alias("depth"), F.struct("ts", "event_id").alias("sampled"))
+    out = flows.drain(flows.depth_series(s, "ts", "queue", "depth", order="sampled"), "update")
+    last = out.groupBy("queue", "window_start").agg(F.max("peak").alias("peak"), F.max_by("last", "last_at").alias("last"))
+    return last.select("queue", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", "last")
 
 
 @query(
@@ -696,4 +719,4 @@ def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "orders").select("o_orderkey", key.alias("dedupe_key"))
 
 
-from matchloom.plans import boards, ingest  # noqa: E402, F401  (they register their queries)
+from matchloom.plans import boards, ingest, upkeep  # noqa: E402, F401  (they register their queries)

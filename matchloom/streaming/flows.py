@@ -8,7 +8,6 @@ not arrival.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,18 +18,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from matchloom.functions.classify import RETRY_LIMIT, RETRY_SECONDS
 from matchloom.operators import catalog as cat
-from matchloom.operators.store import SnapshotStore
+from matchloom.operators.buckets import BucketStore
+from matchloom.operators.shared import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder the session names; a private one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="matchloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """State in RocksDB while the block runs."""
@@ -54,6 +48,16 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(path)
 
 
+def in_batches(rows: DataFrame, batch: str) -> DataFrame:
+    """``rows`` as a stream of one micro-batch for each value of the column ``batch``, in their order: written to the shared folder, one file each."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    numbers = sorted(r[0] for r in rows.select(batch).distinct().collect())  # as many as batches are wanted
+    for n in numbers:
+        rows.filter(F.col(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its result as a table in the shared folder.
 
@@ -77,26 +81,46 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 # --- catalog ------------------------------------------------------------------------
 
 
-def catalog_writer(store: SnapshotStore, now: Callable[[], object], complete: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def catalog_writer(store: BucketStore, now: Callable[[], object], complete: Callable[[DataFrame], DataFrame] | None = None, writer: str = "crawl") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: enumerated rows (source_id, url, ...) are decided, merged and, for wholly read sources, closed.
 
-    A replayed batch finds its rows behind the hash gate and changes nothing.
+    The catalog ``postings`` is bucketed by ``canonical_key``; only buckets
+    with keys of the batch, or with postings that it closes, are written.  The
+    batch's rows get their keys once and are written before they are used.  A
+    batch that is delivered again changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        catalog = store.read("postings")
-        found = cat.keyed(batch)
-        merged = cat.merge_crawl(catalog, cat.crawl_actions(found, catalog), F.lit(now()).cast("timestamp"))
+        work = f"{store.root}/postings.work/{uuid.uuid4().hex}"
+
+        def written(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{work}/{name}")
+            return store.spark.read.parquet(f"{work}/{name}")
+
+        found = written(cat.keyed(batch), "found")
+        at = F.lit(now()).cast("timestamp")
+        gone = found.select("canonical_key").limit(0)
         if complete is not None:
-            merged = cat.close_missing(merged, found, complete(batch), F.lit(now()).cast("timestamp"))
-        store.write("postings", merged)
+            done = written(complete(batch).select("source_id").distinct(), "done")
+            open_ = store.read("postings").filter("closed_at IS NULL").select("canonical_key", "source_id")
+            gone = open_.join(done.hint("merge"), "source_id", "left_semi").join(found.select("canonical_key").hint("merge"), "canonical_key", "left_anti").select("canonical_key")
+        gone = written(gone, "gone")
+
+        def merge(current: DataFrame) -> DataFrame:
+            merged = cat.merge_crawl(current, cat.crawl_actions(found, current), at)
+            closing = gone.withColumn("_gone", F.lit(True)).hint("merge")
+            shut = F.when(F.col("closed_at").isNull() & F.col("_gone"), at).otherwise(F.col("closed_at"))
+            return merged.join(closing, "canonical_key", "left").withColumn("closed_at", shut).drop("_gone")
+
+        store.update("postings", found.select("canonical_key").unionByName(gone), merge, writer, batch_id)
+        store.remove(work)
 
     return write
 
 
-def ingest_catalog(stream: DataFrame, store: SnapshotStore, now: Callable[[], object], checkpoint: str, complete: Callable[[DataFrame], DataFrame] | None = None):
+def ingest_catalog(stream: DataFrame, store: BucketStore, now: Callable[[], object], checkpoint: str, complete: Callable[[DataFrame], DataFrame] | None = None, writer: str = "crawl"):
     """Start the continuous ingest; returns the query."""
-    return stream.writeStream.foreachBatch(catalog_writer(store, now, complete)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(catalog_writer(store, now, complete, writer)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # --- duplicates and counters ----------------------------------------------------------
@@ -112,10 +136,11 @@ def status_counters(stream: DataFrame, ts: str, status: str, window: str = "1 ho
     return w.select(F.col("window.start").alias("window_start"), status, "n")
 
 
-def depth_series(stream: DataFrame, ts: str, queue: str, depth: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Largest and last depth per queue and window; samples later than the watermark are dropped."""
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, window), queue).agg(F.max(depth).alias("peak"), F.max_by(depth, ts).alias("last"))
-    return w.select(F.col("window.start").alias("window_start"), queue, "peak", "last")
+def depth_series(stream: DataFrame, ts: str, queue: str, depth: str, window: str = "1 hour", late: str = "10 minutes", order: str | None = None) -> DataFrame:
+    """Largest and last depth per queue and window, and when the last was sampled (``order``, by default ``ts``); samples later than the watermark are dropped."""
+    at = order or ts
+    w = stream.withWatermark(ts, late).groupBy(F.window(ts, window), queue).agg(F.max(depth).alias("peak"), F.max_by(depth, at).alias("last"), F.max(at).alias("last_at"))
+    return w.select(F.col("window.start").alias("window_start"), queue, "peak", "last", "last_at")
 
 
 def feedback_sessions(stream: DataFrame, user: str, ts: str, verdict: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -130,19 +155,46 @@ PACED = "host string, request_id long, ts timestamp, wait_s double, over_limit b
 
 
 class TokenBucket(StatefulProcessor):
-    """Tokens of one host: refilled at ``rate`` a second up to ``burst``; a request without a token waits for one."""
+    """Tokens of one host: refilled at ``rate`` a second up to ``burst``; a request without a token waits for one.
+
+    Requests wait in slots of ``slot_s`` seconds of event time until the
+    watermark has passed the slot, and are then served in order of time.
+    Chunks of rows go into their slots as they come; no more than one slot of
+    one host is in memory.  A host that was idle for ``idle_s`` seconds, when
+    its bucket is full again, has no state.
+    """
 
-    def __init__(self, rate: float, burst: int, most_wait: float) -> None:
-        self.rate, self.burst, self.most_wait = rate, burst, most_wait
+    def __init__(self, rate: float, burst: int, most_wait: float, slot_s: int, idle_s: float) -> None:
+        self.rate, self.burst, self.most_wait, self.slot = rate, burst, most_wait, 1000 * slot_s
+        self.idle = int(1000 * max(idle_s, burst / rate))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, at double")
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "tokens double, at double, idle_from long")
+        self.slots = handle.getMapState("slots", "slot long", "ids array<long>, ts array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
-        tokens, at = self.state.get() if self.state.exists() else (float(self.burst), None)
+        for chunk in rows:
+            at = chunk["ts"].map(pd.Timestamp.timestamp)
+            for slot, part in chunk.groupby((at * 1000 // self.slot).astype("int64")):
+                slot = int(slot)
+                ids, ts = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ([], [])
+                self.slots.updateValue((slot,), ([*ids, *part["request_id"].tolist()], [*ts, *at[part.index].tolist()]))
+                self.handle.registerTimer((slot + 1) * self.slot)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        slot = due // self.slot - 1
+        if due % self.slot or not self.slots.containsKey((slot,)):
+            if self.state.exists() and self.state.get()[2] + self.idle <= due:
+                self.state.clear()
+            return
+        tokens, at, _ = self.state.get() if self.state.exists() else (float(self.burst), None, 0)
+        ids, times = self.slots.getValue((slot,))
+        order = sorted(zip(times, ids))
         waits, over = [], []
-        for t in requests["ts"].map(pd.Timestamp.timestamp):
+        for t, _ in order:
             tokens = min(float(self.burst), tokens + max(0.0, t - (t if at is None else at)) * self.rate)
             at = t if at is None else max(at, t)
             wait = 0.0 if tokens >= 1 else (1 - tokens) / self.rate
@@ -150,16 +202,24 @@ class TokenBucket(StatefulProcessor):
             over.append(wait > self.most_wait)
             if not over[-1]:
                 tokens -= 1  # a request that would wait too long is released and takes none
-        self.state.update((tokens, at))
-        yield pd.DataFrame({"host": key[0], "request_id": requests["request_id"].to_numpy(), "ts": requests["ts"].to_numpy(), "wait_s": waits, "over_limit": over})
+        self.slots.removeKey((slot,))
+        self.state.update((tokens, at, due))
+        self.handle.registerTimer(due + self.idle + 1)
+        yield pd.DataFrame({"host": key[0], "request_id": [i for _, i in order], "ts": pd.to_datetime([round(1e6 * t) for t, _ in order], unit="us"), "wait_s": waits, "over_limit": over})
 
     def close(self) -> None:
         pass
 
 
-def pace_requests(stream: DataFrame, rate: float = 1.0, burst: int = 3, most_wait: float = 10.0) -> DataFrame:
-    """Wait of each request (host, request_id, ts) under the host's token bucket."""
-    return stream.select("host", "request_id", "ts").groupBy("host").transformWithStateInPandas(TokenBucket(rate, burst, most_wait), PACED, "Append", "None")
+def pace_requests(stream: DataFrame, rate: float = 1.0, burst: int = 3, most_wait: float = 10.0, late: str = "1 minute", slot_s: int = 60, idle_s: float = 3600.0) -> DataFrame:
+    """Wait of each request (host, request_id, ts) under the host's token bucket, once the watermark has passed its slot.
+
+    Requests later than ``late`` are dropped.  Requests of one host are served
+    one after the other, which is what pacing means; those of a slot are what a
+    task holds at once.
+    """
+    timed = stream.select("host", "request_id", "ts").withWatermark("ts", late)
+    return timed.groupBy("host").transformWithStateInPandas(TokenBucket(rate, burst, most_wait, slot_s, idle_s), PACED, "Append", "EventTime")
 
 
 JOB_STATE = "job_id long, status string, attempts int, last_error string, next_delay_s double"

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import schemas
-from matchloom.operators import jobs, store
+from matchloom.operators import buckets, jobs
 from matchloom.streaming import flows
 
 
@@ -32,26 +32,45 @@ def test_stream_of_attempts_equals_batch(spark, shared):
     assert last == want
 
 
+def stamped(spark, rows):
+    return spark.createDataFrame([(h, n, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()) for h, n, s in rows], "host string, request_id long, ts timestamp")
+
+
 def test_token_bucket(spark, shared):
-    rows = [("e.com", n, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()) for n, s in enumerate([0, 0, 0, 0, 0, 10])]
-    df = spark.createDataFrame(rows, "host string, request_id long, ts timestamp")
+    """Requests in any order and over several batches; the last one of another host moves the watermark past them."""
+    rows = [("e.com", n, s) for n, s in enumerate([0, 0, 0, 0, 0, 10])]
+    stream = as_stream(spark, shared, stamped(spark, [rows[5], rows[2], rows[0]]), stamped(spark, [rows[1], rows[4], rows[3]]), stamped(spark, [("-", -1, 10**6)]))
+    with flows.rocksdb(spark):
+        out = flows.drain(flows.pace_requests(stream, rate=1.0, burst=3, most_wait=1.5, slot_s=5))
+    waits = [(r.wait_s, r.over_limit) for r in out.filter("host = 'e.com'").orderBy("request_id").collect()]
+    assert waits[:3] == [(0.0, False)] * 3 and waits[3] == (1.0, False) and waits[4] == (2.0, True) and waits[5] == (0.0, False) and len(waits) == 6
+
+
+def test_idle_hosts_have_no_state(spark, shared):
+    """A host's bucket goes once it is full again and the host idle; the next request starts a new one."""
+    batches = [[(f"h{k}", k, k) for k in range(6)], [("x", 100, 5_000)], [("x", 101, 50_000)], [("h0", 102, 60_000), ("x", 103, 60_001)], [("-", -1, 10**6)]]
+    query = flows.pace_requests(as_stream(spark, shared, *[stamped(spark, b) for b in batches]), rate=1.0, burst=2, slot_s=10, idle_s=60.0)
     with flows.rocksdb(spark):
-        out = flows.drain(flows.pace_requests(as_stream(spark, shared, df), rate=1.0, burst=3, most_wait=1.5))
-    waits = [(r.wait_s, r.over_limit) for r in out.orderBy("request_id").collect()]
-    assert waits[:3] == [(0.0, False)] * 3 and waits[3] == (1.0, False) and waits[4] == (2.0, True) and waits[5] == (0.0, False)
+        q = query.writeStream.format("parquet").option("checkpointLocation", f"{shared}/log").trigger(availableNow=True).start(f"{shared}/out")
+        q.awaitTermination()
+    assert {r.request_id for r in spark.read.parquet(f"{shared}/out").filter("host <> '-'").collect()} == {*range(6), 100, 101, 102, 103}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # what is left of the last hosts
 
 
 def test_catalog_stream_is_safe_to_replay(spark, shared):
-    s = store.SnapshotStore(spark, f"{shared}/store")
-    s.write("postings", spark.createDataFrame([], schemas.schema_of("postings")))
+    s = buckets.BucketStore(spark, f"{shared}/store")
+    s.create("postings", spark.createDataFrame([], schemas.schema_of("postings")), ["canonical_key"], 4)
     rows = spark.createDataFrame([(1, "a", "https://e.com/a", "T", None, "word " * 60), (1, "b", "https://e.com/b", "T", None, "word " * 70)], "source_id long, external_id string, url string, title string, updated_at timestamp, content string")
     write = flows.catalog_writer(s, lambda: "2024-01-01")
     write(rows, 0)
     first = sorted(map(str, s.read("postings").collect()))
-    write(rows, 0)
+    version = s.version("postings")
+    write(rows, 0)  # the same batch once more is known
+    assert s.version("postings") == version
+    flows.catalog_writer(s, lambda: "2024-01-01", writer="other")(rows, 0)  # from another writer it meets the hash gate
     assert sorted(map(str, s.read("postings").collect())) == first and len(first) == 2
     stream = as_stream(spark, shared, rows.limit(1))
-    flows.ingest_catalog(stream, s, lambda: "2024-01-01", f"{shared}/ck", complete=lambda batch: batch.select("source_id").distinct()).awaitTermination(60)
+    flows.ingest_catalog(stream, s, lambda: "2024-01-01", f"{shared}/ck", complete=lambda batch: batch.select("source_id").distinct(), writer="stream").awaitTermination(60)
     assert {r.url: r.closed_at is None for r in s.read("postings").collect()} == {"https://e.com/a": True, "https://e.com/b": False}
 
 
