@@ -15,6 +15,18 @@ def transitions(before: Column, after: Column, rows: DataFrame, top: int = 20) -
     return rows.filter(~before.eqNullSafe(after)).groupBy(text.alias("change")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "change").limit(top)
 
 
+def backfill_report(rows: DataFrame, changed: DataFrame, before: str, after: str, key: str = "posting_id", extra: tuple[str, ...] = (), examples: int = 15) -> DataFrame:
+    """What a backfill looks at and changes, for a dry run as well: one row with ``examined``, ``to_correct`` and the first ``examples`` changes by key.
+
+    Examples hold the key, the value before and after, and the ``extra`` columns.
+    """
+    # The smallest keys are found per partition first, so no more than ``examples`` rows of each travel.
+    first = changed.select(key, F.col(before).alias("before"), F.col(after).alias("after"), *extra).orderBy(key).limit(examples)
+    shown = first.agg(F.array_sort(F.collect_list(F.struct(key, "before", "after", *extra))).alias("examples"))
+    counts = rows.agg(F.count("*").alias("examined")).withColumn("_one", F.lit(1)), changed.agg(F.count("*").alias("to_correct")).withColumn("_one", F.lit(1))
+    return counts[0].join(counts[1].hint("broadcast"), "_one").join(shown.withColumn("_one", F.lit(1)).hint("broadcast"), "_one").drop("_one")
+
+
 def employer_names(postings: DataFrame, sources: DataFrame) -> DataFrame:
     """Postings with ``employer``: the display name of their source, else the stored company."""
     names = sources.select("source_id", F.col("display_name").alias("_board"))

@@ -1,13 +1,14 @@
 """Nearest postings of every profile under hard filters.
 
-``recall`` is exact: both sides are dealt into blocks, every pair of blocks is
-one matrix product in one task, and only each block's best rows reach the
-final ranking.  ``recall_cells`` compares a profile with the postings of its
+``recall`` is exact: profiles are broadcast up to a block's size, or both sides
+are dealt into blocks; a pair of blocks is one matrix product in one task, and
+only each block's best rows reach the final ranking.  ``recall_cells`` compares a profile with the postings of its
 nearest k-means cells only.  Filters run before either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,14 +92,42 @@ def top_k(found: DataFrame, limit: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _best_of_stream(limit: int, shared):
+    """Best rows of one partition of postings for all profiles of a bounded block; the block's best so far are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, p = shared.value
+        if not len(ids):
+            return
+        score, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(k, BLOCK_ROWS)
+                score = np.concatenate([score, p @ _matrix(part.column(1)).T], axis=1)
+                found = np.concatenate([found, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], axis=1)
+                top = np.lexsort((found, -score), axis=1)[:, :limit]
+                score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["profile_id", "posting_id", "semantic_score"])
+
+    return run
+
+
 def recall(profiles: DataFrame, postings: DataFrame, limit: int = RECALL_LIMIT, filters: FeedFilters | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact nearest postings: rows (profile_id, posting_id, semantic_score, rank).  Embeddings are unit vectors."""
-    left = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
-    right = eligible(postings, filters).select("posting_id", "embedding")
+    """Exact nearest postings: rows (profile_id, posting_id, semantic_score, rank).  Embeddings are unit vectors.
+
+    At most ``block_rows`` profiles, counted first, are broadcast, and postings
+    stay where they are; more meet the postings in a grid of blocks.
+    """
+    left = profiles.filter(F.col("embedding").isNotNull()).select(F.col("profile_id").cast("long"), "embedding")
+    right = eligible(postings, filters).select(F.col("posting_id").cast("long"), "embedding")
+    # A block's border may cut ties apart after rounding, so blocks hand over a few rows more than asked for.
+    few = left.limit(block_rows + 1).toArrow()
+    if len(few) <= block_rows:
+        shared = left.sparkSession.sparkContext.broadcast((few.column(0).to_numpy(), _matrix(few.column(1))))
+        return top_k(right.mapInArrow(_best_of_stream(limit + 32, shared), _FOUND), limit)
     n_left, n_right = (max(1, -(-df.count() // block_rows)) for df in (left, right))
     grid_left = left.withColumn("p", F.pmod(F.xxhash64("profile_id"), F.lit(n_left)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     grid_right = right.withColumn("q", F.pmod(F.xxhash64("posting_id"), F.lit(n_right)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    # A block's border may cut ties apart after rounding, so blocks hand over a few rows more than asked for.
     found = grid_left.groupBy("p", "q").cogroup(grid_right.groupBy("p", "q")).applyInArrow(_best_of_block(limit + 32), _FOUND)
     return top_k(found, limit)
 

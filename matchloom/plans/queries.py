@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import classify, seniority, skills, text, urls, vectors
-from matchloom.operators import catalog, embed, feed, insights, jobs, maintenance, ops, profiles, recall
+from matchloom.operators import catalog, embed, feed, insights, jobs, maintenance, ops, profiles, ranks, recall
 from matchloom.plans import bindings as b
 from matchloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from matchloom.plans.stored import feeds
 from matchloom.sources import texts
 from matchloom.streaming import flows
 
@@ -62,14 +63,16 @@ def skill_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, d: str) -> DataFrame:
-    return feed.build_feed(b.profiles_full(spark, d), b.postings_full(spark, d), scored_at=_now())
+    """The stored feeds."""
+    return feeds(spark, d).matches()
 
 
 @query("feed_build", b.with_(*b.FEED_PARTS) + "SELECT profile_id, posting_id, CAST(round(sim * 1e6) AS BIGINT) AS score_millionths, round(skill, 4) AS skill_score, round(final, 4) AS final_score, CAST(feed_rank AS INTEGER) AS feed_rank FROM feed")
 def feed_build(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: recall, score and rerank for all profiles in one job."""
     r = lambda c: F.round(c, 4).alias(c)
-    return _feed(spark, d).select("profile_id", "posting_id", _millionths("semantic_score"), r("skill_score"), r("final_score"), "feed_rank")
+    made = feed.build_feed(b.profiles_full(spark, d), b.postings_full(spark, d), scored_at=_now())
+    return made.select("profile_id", "posting_id", _millionths("semantic_score"), r("skill_score"), r("final_score"), "feed_rank")
 
 
 @query(
@@ -94,8 +97,8 @@ k AS (SELECT replace(name, ' ', '') AS key, CAST(sum(missing) AS BIGINT) AS miss
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = recall.recall(b.profiles(spark, d), b.postings(spark, d)).drop("rank")
-    return insights.verdict_rows(feed.score_pairs(pairs, b.profiles_full(spark, d), b.postings_full(spark, d)))
+    """Verdicts of the stored scored pairs."""
+    return insights.verdict_rows(feeds(spark, d).scored())
 
 
 @query("skill_gaps", b.with_(*b.FEED_PARTS[:6]) + _GAP_SQL + "SELECT skill, missing, partial, matched, blocking FROM k WHERE missing > 0 OR partial > 0 ORDER BY blocking DESC, missing DESC, partial DESC, skill LIMIT 12")
@@ -111,8 +114,8 @@ def skill_gaps(spark: SparkSession, d: str) -> DataFrame:
 )
 def skill_gap_severity(spark: SparkSession, d: str) -> DataFrame:
     v = _verdicts(spark, d)
-    total = recall.recall(b.profiles(spark, d), b.postings(spark, d)).agg(F.count("*").alias("analyzed"))
-    gaps = insights.fold_spellings(insights.gap_counts(v)).filter("missing > 0 or partial > 0").crossJoin(F.broadcast(total))
+    total = F.lit(feeds(spark, d).scored().count()).cast("long").alias("analyzed")
+    gaps = insights.fold_spellings(insights.gap_counts(v)).filter("missing > 0 or partial > 0").select("*", total)
     return insights.with_severity(gaps).select("skill", "blocking", "analyzed", "severity")
 
 
@@ -138,7 +141,7 @@ JOIN m USING (match_id) JOIN profiles p USING (profile_id) JOIN postings q USING
 )
 def feedback_saved(spark: SparkSession, d: str) -> DataFrame:
     """A user's tracker: feedback, matches, profiles and postings joined."""
-    m = _feed(spark, d).withColumn("match_id", (F.row_number().over(Window.orderBy("profile_id", "feed_rank")) - 1).cast("long"))
+    m = ranks.numbered(_feed(spark, d).select("profile_id", "feed_rank", "posting_id", "final_score"), [], ["profile_id", "feed_rank"], "match_id").withColumn("match_id", F.col("match_id") - 1)
     owned = b.profiles(spark, d).filter("user_id = 0").select("profile_id")
     return feed.saved_matches(b.feedback(spark, d), m, owned, b.postings(spark, d)).select("id", "match_id", "verdict", "profile_id", "posting_id")
 
@@ -273,6 +276,23 @@ def company_transitions(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.backfill_company(b.source_postings(spark, d), b.sources(spark, d))[2]
 
 
+@query(
+    "company_report",
+    b.with_(b.SQL_SOURCES, b.SQL_SOURCE_POSTINGS)
+    + """, r AS (SELECT p.posting_id, p.company, s.display_name FROM source_postings p JOIN sources s USING (source_id)),
+c AS (SELECT posting_id, coalesce(company, 'null') || ' -> ' || display_name AS change FROM r WHERE company IS DISTINCT FROM display_name)
+SELECT (SELECT count(*) FROM r) AS examined, (SELECT count(*) FROM c) AS to_correct, string_agg(posting_id || ' ' || change, '; ' ORDER BY posting_id) AS examples FROM (SELECT * FROM c ORDER BY posting_id LIMIT 15)""",
+)
+def company_report(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and examples of a dry run of the company backfill."""
+    p, s = b.source_postings(spark, d), b.sources(spark, d)
+    examined = p.join(s.select("source_id"), "source_id", "left_semi")
+    _, changed, _ = maintenance.backfill_company(p, s)
+    r = maintenance.backfill_report(examined, changed, "company", "employer")
+    line = lambda x: F.concat(x["posting_id"].cast("string"), F.lit(" "), F.coalesce(x["before"], F.lit("null")), F.lit(" -> "), x["after"])
+    return r.select("examined", "to_correct", F.array_join(F.transform("examples", line), "; ").alias("examples"))
+
+
 @query("company_residue", b.with_(b.SQL_SOURCE_POSTINGS) + "SELECT source_id IS NOT NULL AS has_source, count(*) AS n FROM source_postings WHERE company IS NULL GROUP BY 1")
 def company_residue(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.residue(b.source_postings(spark, d))
@@ -695,14 +715,15 @@ def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "unit_vectors",
-    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 3)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS len FROM e)
-    SELECT a.vec_id, CAST(round(a.v[1] / a.len * 1e5) AS BIGINT) AS first_e5, CAST(round(list_inner_product(a.v, c.v) / (a.len * c.len) * 1e5) AS BIGINT) AS cosine_e5
-    FROM n a JOIN n c ON c.vec_id = a.vec_id + 1""",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 3)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS len FROM e),
+    u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x / len AS FLOAT) AS DOUBLE)) AS u FROM n)
+    SELECT a.vec_id, CAST(round(a.u[1] * 1e5) AS BIGINT) AS first_e5, CAST(round(list_inner_product(a.u, c.u) * 1e5) AS BIGINT) AS cosine_e5
+    FROM u a JOIN u c ON c.vec_id = a.vec_id + 1""",
 )
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Scaled vectors brought back to length one, and the cosine of each with the next."""
-    scaled = F.transform("embedding", lambda x: (x * (F.col("vec_id") % 3 + 1)).cast("float"))
-    v = b.table(spark, d, "embeddings").select("vec_id", vectors.l2_normalize(scaled).alias("v"))
+    """Scaled vectors brought back to length one, stored as floats, and the cosine of each with the next."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3 + 1))
+    v = b.table(spark, d, "embeddings").select("vec_id", vectors.l2_normalize(scaled).cast("array<float>").alias("v"))
     following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")).hint("merge")
     e5 = lambda x: F.round(x * 1e5).cast("long")
     return v.join(following, "vec_id").select("vec_id", e5(F.col("v")[0].cast("double")).alias("first_e5"), e5(vectors.cosine_of_units(F.col("v"), F.col("w"))).alias("cosine_e5"))
