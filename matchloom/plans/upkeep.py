@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import index, recall
+from matchloom.operators import audit, index, recall, sketches
 from matchloom.operators.buckets import BucketStore
 from matchloom.operators.feed_state import FeedState
 from matchloom.operators.store import SnapshotStore
 from matchloom.plans import bindings as b
-from matchloom.plans.registry import query
+from matchloom.plans.registry import ORACLE_SQL, query
 from matchloom.operators.shared import shared_folder
 
 
@@ -56,3 +56,26 @@ def feed_refresh(spark: SparkSession, d: str) -> DataFrame:
     state.refresh(p, q, changed, p.filter("profile_id % 150 = 0 or profile_id % 4 = 1"), scored_at=at)
     r = lambda c: F.round(c, 4).alias(c)
     return state.matches().select("profile_id", "posting_id", F.round(F.col("semantic_score") * 1e6).cast("long").alias("score_millionths"), r("skill_score"), r("final_score"), "feed_rank")
+
+
+@query(
+    "distinct_sketches",
+    "SELECT o_orderstatus AS status, count(*) AS rows, true AS near FROM orders GROUP BY 1",
+)
+def distinct_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Customers per status from sketches kept by year, added year after year, against counting them all: are they within three percent?"""
+    o = b.table(spark, d, "orders").select(F.year("o_orderdate").alias("snapshot"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    kept = sketches.DistinctCounts(BucketStore(spark, shared_folder(spark)), "customers", ["status"])
+    for part in ("snapshot < 1995", "snapshot >= 1995", "snapshot = 1996"):  # the last year once more
+        kept.add(o.filter(part), "customer")
+    exact = o.groupBy("status").agg(F.count_distinct("customer").alias("exact"))
+    both = kept.counts("status").join(exact.hint("merge"), "status")
+    return both.select("status", "rows", (F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))
+
+
+@query("audit_counts", ORACLE_SQL["constraint_audit"])
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The violations of ``constraint_audit``, found while the tables are written."""
+    j = b.jobs(spark, d).withColumn("status", F.when(F.col("status") == "dead", "lost").otherwise(F.col("status")))
+    batches = j.filter("batch_id % 2 = 0").select("batch_id").distinct()
+    return audit.write_audited({"ingest_jobs": j, "url_batches": batches}, shared_folder(spark))[1]
