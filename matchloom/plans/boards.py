@@ -11,9 +11,11 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.operators import catalog
 from matchloom.plans import bindings as b
 from matchloom.plans.registry import query
-from matchloom.sources import boards
+from matchloom.sources import board_source, boards
+from matchloom.streaming import flows
 from matchloom.streaming.flows import shared_folder
 
 KINDS = tuple(boards.ADAPTERS)
@@ -128,3 +130,40 @@ def board_registered(spark: SparkSession, d: str) -> DataFrame:
         return _shown(boards.enumerate_board("inhouse", _payloads(spark, d, "breezy"))).withColumn("updated_s", F.lit(None).cast("long"))
     finally:
         boards.ADAPTERS.pop("inhouse")
+
+
+#: Listings of a page where a board's hundred orders come in several.
+PAGE = 40
+
+
+def _paged(spark: SparkSession, d: str, kind: str, orders: DataFrame) -> DataFrame:
+    """A board's orders in pages of :data:`PAGE`; the walk of a paged kind ends as its rule says."""
+    rows = orders.withColumn("page_no", F.floor(F.col("k") % 100 / PAGE).cast("int") + 1)
+    out = None
+    for n in range(1, -(-100 // PAGE) + 1):
+        one = _payloads(spark, d, kind, rows.filter(F.col("page_no") == n)).withColumn("page_no", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("board_source", _O + "\nUNION ALL ".join(_expected(kind, f"page % {len(KINDS)} = {n}") for n, kind in enumerate(KINDS)))
+def board_source_listings(spark: SparkSession, d: str) -> DataFrame:
+    """All kinds in pages of forty, landed and read through the ``boards`` data source."""
+    root, orders = shared_folder(spark), _orders(spark, d)
+    for n, kind in enumerate(KINDS):
+        board_source.land(_paged(spark, d, kind, orders.filter(F.col("page") % len(KINDS) == n)), kind, root)
+    board_source.register(spark)
+    return _shown(board_source.listings(spark, root, together=32))
+
+
+@query("board_walks", _O + ", p AS (SELECT DISTINCT page, k % 100 // 40 AS n FROM o WHERE page % 8 = 4) SELECT 'smartrecruiters/b' || page AS source_id, count(*) AS pages, false AS complete FROM p WHERE n > 0 GROUP BY page")
+def board_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Paged boards whose first page was lost, streamed: what was read of each, and whether that was all."""
+    root, orders = shared_folder(spark), _orders(spark, d)
+    board_source.land(_paged(spark, d, "smartrecruiters", orders.filter(F.col("page") % 8 == 4)).filter("page_no > 1").withColumn("page_no", F.col("page_no") - 1), "smartrecruiters", root)
+    board_source.register(spark)
+    stream = spark.readStream.format("boards").option("kinds", "smartrecruiters").load(root)
+    read = flows.drain(stream).withColumn("body", F.replace("body", F.lit('"totalFound":'), F.lit('"totalFound":100')))  # each page says that more was found
+    walks = board_source.walked(read, ["smartrecruiters"]).withColumn("crawl_id", F.lit(1))
+    done = catalog.completeness(walks).select("source_id", "complete")
+    return walks.groupBy("source_id").agg(F.count("*").alias("pages")).join(done.hint("merge"), "source_id")

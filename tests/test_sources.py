@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import embed
-from matchloom.sources import boards, texts
+from matchloom.operators import catalog, embed
+from matchloom.sources import board_source, boards, texts
 
 PAYLOADS = {
     "greenhouse": {"jobs": [{"id": 1, "absolute_url": "https://g/1", "title": "T", "updated_at": "2024-01-02T03:04:05-01:00", "content": "&lt;p&gt;Hello &amp;amp; bye&lt;/p&gt;"}, {"id": 2}, {"id": 3, "absolute_url": "https://g/3", "content": None}]},
@@ -77,3 +77,38 @@ def test_embedding_is_pooled_to_unit_length(spark):
     p = {x.id: [round(y, 4) for y in x.embedding] for x in embed.pool_vectors(v, "id").collect()}
     assert p == {1: [0.7071, 0.7071], 2: [1.0, 0.0]}
     assert embed.chunks(d.filter("id = 4"), "id", "t").select(F.col("chunk")).first().chunk == "python"
+
+
+def page(spark, path, kind, board, number, body):
+    df = spark.createDataFrame([(board, number, body)], "board_token string, page_no int, body string")
+    board_source.land(df, kind, path)
+
+
+def test_board_source_reads_pages_and_goes_on_by_board(spark, tmp_path):
+    root, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    board_source.register(spark)
+    smart = lambda *ids: json.dumps({"totalFound": 3, "content": [{"id": i, "name": f"N{i}"} for i in ids]})
+    page(spark, root, "smartrecruiters", "a", 1, smart("1", "2"))
+    page(spark, root, "breezy", "x", 1, json.dumps(PAYLOADS["breezy"]))
+    read = spark.read.format("boards").load(root)
+    assert read.rdd.getNumPartitions() == 2
+    assert {(r.kind, r.board_token, r.external_id) for r in board_source.listings(spark, root).collect()} == {("smartrecruiters", "a", "1"), ("smartrecruiters", "a", "2"), ("breezy", "x", "z")}
+    assert spark.read.format("boards").option("together", 5).load(root).rdd.getNumPartitions() == 1
+    assert {r.kind for r in spark.read.format("boards").option("kinds", "breezy").load(root).collect()} == {"breezy"}
+
+    def drain():
+        q = spark.readStream.format("boards").load(root).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return sorted((r.kind, r.board_token, r.page_no) for r in spark.read.parquet(out).collect())
+
+    first = drain()
+    assert first == [("breezy", "x", 1), ("smartrecruiters", "a", 1)]
+    page(spark, root, "smartrecruiters", "b", 2, smart("9"))  # waits for page 1
+    page(spark, root, "smartrecruiters", "a", 2, smart("3"))
+    assert drain() == sorted([*first, ("smartrecruiters", "a", 2)])
+    page(spark, root, "smartrecruiters", "b", 1, smart("7", "8"))
+    assert drain() == sorted([*first, ("smartrecruiters", "a", 2), ("smartrecruiters", "b", 1), ("smartrecruiters", "b", 2)])
+    walks = board_source.walked(spark.read.format("boards").load(root)).withColumn("crawl_id", F.lit(1))
+    assert {r.source_id: r.complete for r in catalog.completeness(walks).collect()} == {"breezy/x": True, "smartrecruiters/a": True, "smartrecruiters/b": True}
+    with pytest.raises(Exception, match="path"):
+        spark.read.format("boards").load().count()
