@@ -14,6 +14,7 @@ again with a higher attempt number until all are distinct.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +30,36 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?
 CARD = r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
-# Honorifics by gender.
-HE = r"Mr\.?|Sir|Herr|Monsieur|Señor|Sr\.|Signor|г-н|господин"
+IPV6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:])"
+PHONE = (
+    r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+    # National forms: three groups with one separator, a leading zero and a long group, and the exit code.
+    r"|(?<![\d.,/-])(?<!\d )\d{3}([ .])\d{3}\g1\d{4}(?![ .,/-]?\d)|(?<![\d.,/-])(?<!\d )0[1-9]\d{1,3}[ /-]\d{5,8}(?![ .,/-]?\d)|(?<![\d.,/-])(?<!\d )00[1-9]\d[ ./-]?\d{2,4}[ ./-]?\d{4,8}(?![ .,/-]?\d)"
+).replace(r"([ .])\d{3}\g1", r"(?:(?= ) \d{3} |\.\d{3}\.)")
+# Honorifics by gender, titles of both, and those written in capitals.
+HE = r"Mr\.?|Sir|Herrn?|Monsieur|Señor|Sr\.|Signor|г-н|господин"
 SHE = r"Mrs\.?|Ms\.?|Miss|Madam|Frau|Madame|Mme\.?|Señora|Sra\.|Signora|г-жа|госпожа"
+ANY = r"Dr\.?|Prof\.?|Doctor|Professor|Doktor|Docteur"
+CAPITAL_HE, CAPITAL_SHE = r"MR\.?|HERR|SEÑOR|MONSIEUR|DR\.|PROF\.", r"MRS\.?|MS\.|MISS|FRAU|MADAME|SEÑORA"
+# What "Sr." stands before when it means senior.
+POSTS = "Engineer|Developer|Manager|Analyst|Architect|Consultant|Director|Designer|Scientist|Administrator|Specialist|Programmer|Researcher|Accountant|Associate|Advisor|Officer|Technician|Recruiter|Editor|Writer|Nurse|Lead|Software|Data|Project|Product|Program|Systems|Staff|Sales|Marketing|Security|Network|Business|Full|Backend|Frontend|DevOps|QA"
+# Particles of family names.
+PARTS = "von|van|vom|der|den|de|del|della|di|da|dos|du|la|le|los|las|zu|zur|zum|af|av|ter|ten|bin|ibn|al|el"
 # What stands before a name that someone gives.
 CUES = "my name is|mein Name ist|ich heiße|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|меня зовут"
-_REST = r"[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++){0,2}+"
-_WORDS = rf"\p{{Lu}}{_REST}"
+_CUES = CUES.replace(" ", r"\h{1,3}")
+_S = r"\h{1,3}+"
+#: A word of a name: a capital first; capitals, apostrophes and hyphens within, but no possessive s.
+_WORD = r"\p{Lu}(?:['’]\p{L})?[\p{L}\p{M}]++(?:['’-](?!s(?![\p{L}]))[\p{L}\p{M}]++)*+"
+_MIXED = rf"(?=[\p{{L}}\p{{M}}'’-]*\p{{Ll}}){_WORD}"
+_CAPITALS = rf"(?![\p{{L}}\p{{M}}'’-]*\p{{Ll}}){_WORD}"
+_LEAD = rf"(?:(?:{PARTS}){_S}){{0,3}}+"
+_WORDS = rf"(?:{_LEAD}{_MIXED}(?:{_S}(?:\p{{Lu}}\.{_S})?{_LEAD}{_MIXED}){{0,2}}+|{_CAPITALS}(?:{_S}(?:\p{{Lu}}\.{_S})?{_CAPITALS}){{0,2}}+)"
+_TITLE = rf"(?:(?:{HE}|{SHE}|{ANY})(?:{_S}(?:{ANY}))*+|{CAPITAL_HE}|{CAPITAL_SHE}){_S}"
+_SENIOR = rf"(?!Sr\.(?:{_S}\p{{Lu}}\p{{L}}*+){{0,2}}{_S}(?:{POSTS})(?![\p{{L}}]))"
 # What stands before is looked at behind a capital letter only.
-NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}) {_WORDS}|\p{{Lu}}(?<=(?iu:{CUES}) .){_REST}"
-PATTERN = f"(?:{EMAIL}|{SECRET}|{IBAN}|{CARD}|{SSN}|{IP}|{PHONE}|{NAME})"
+NAME = rf"(?<![\p{{L}}]){_SENIOR}{_TITLE}{_WORDS}|(?=\p{{Lu}})(?<=(?iu:{_CUES})\h{{1,3}}){_WORDS}"
+PATTERN = f"(?:{EMAIL}|{SECRET}|{IBAN}|{CARD}|{SSN}|{IP}|{IPV6}|{PHONE}|{NAME})"
 # Given names by gender and script.
 GIVEN = {
     ("he", "latin"): "Adam Bruno Carl David Emil Frank Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul Robert Simon Thomas Victor".split(),
@@ -50,7 +70,8 @@ GIVEN = {
 # Syllables of family names by script.
 SYLLABLES = {"latin": "bar den fal gor hel kam lin mor nel par ros sel tor vel win zan".split(), "cyrillic": "бар вел гор дан зим кал лин мор нов пав рос сам тор фед хар яр".split()}
 #: What every entity has some of; texts without it are not searched further.
-HINT = r"(?iu)[0-9@=:]|AKIA|name is|Name ist|hei\u00dfe|appelle|nom est|llamo|nombre es|\u0437\u043e\u0432\u0443\u0442|(?-i:M(?:r|s|is|adam|me|onsieur|rs)|S(?:ir|r|ra|e\u00f1or|ignor)|Herr|Frau|\u0433-|\u0433\u043e\u0441\u043f\u043e)"
+HINT = r"(?iu)[0-9@=:]|AKIA|name\h{1,3}is|Name\h{1,3}ist|hei\u00dfe|appelle|nom\h{1,3}est|llamo|nombre\h{1,3}es|\u0437\u043e\u0432\u0443\u0442|(?-i:M(?:r|s|is|adam|me|onsieur|rs|R|S|I|ADAM|ONSIEUR)|S(?:ir|r|ra|e\u00f1or|ignor|IR|E\u00d1OR)|H(?:err|ERR)|F(?:rau|RAU)|D(?:r|R|oct|okt)|P(?:rof|ROF)|\u0433-|\u0433\u043e\u0441\u043f\u043e)"
+#: Attempts after which a type that makes no progress has no free surrogates.
 MAX_ATTEMPTS = 30
 
 
@@ -61,22 +82,35 @@ def _lit(words: list[str]) -> Column:
 def entity_type(m: Column) -> Column:
     """Type of a mention, by the pattern that matches it whole."""
     out = F.lit("phone")
-    for name, pattern in reversed((("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("ip", IP), ("phone", PHONE), ("name", NAME))):
+    for name, pattern in reversed((("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("ip", IP), ("ip", IPV6), ("phone", PHONE), ("name", NAME))):
         out = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     # A name behind a cue is all letters: its cue is not part of the mention.
     return F.when(m.rlike(f"^(?:{_WORDS})$"), F.lit("name")).otherwise(out)
 
 
-def canonical(kind: Column, m: Column) -> Column:
+def bare_name(m: Column) -> Column:
+    """A person's name without title, in one spacing and in mixed case."""
+    bare = F.regexp_replace(F.regexp_replace(m, rf"^{_TITLE}", ""), r"\h+", " ")
+    return F.when(bare == F.upper(bare), F.initcap(F.lower(bare))).otherwise(bare)
+
+
+def is_she(m: Column) -> Column:
+    """Whether a mention of a person is female by its title, or else by a given name that is known."""
+    known = "|".join(GIVEN["she", "latin"] + GIVEN["she", "cyrillic"])
+    neutral = F.regexp_replace(m, rf"^(?:{ANY}|DR\.?|PROF\.?)(?:{_S}(?:{ANY}))*+{_S}", "")
+    return m.rlike(rf"^(?:{SHE}|{CAPITAL_SHE}){_S}") | neutral.rlike(rf"^(?:{known})(?![\p{{L}}])")
+
+
+def canonical(kind: Column, m: Column, she: Column) -> Column:
     """What two mentions of one entity have in common."""
     digits = F.regexp_replace(m, r"\D", "")
-    bare = F.regexp_replace(m, rf"^(?:{HE}|{SHE}) ", "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "email", F.lower(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "secret", F.regexp_replace(m, rf"^{KEYWORD}|\"", ""))
-        .when(kind == "name", F.concat(F.when(m.rlike(f"^(?:{SHE}) "), "she").otherwise("he"), F.lit(":"), bare))
+        .when(kind == "name", F.concat(F.when(she, "she").otherwise("he"), F.lit(":"), bare_name(m)))
+        .when(kind == "ip", F.lower(m))
         .otherwise(m)
     )
 
@@ -127,6 +161,7 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind: Column, entity: Column, attempt: Column, h: Column) -> Column:
     """Canonical surrogate of a canonical entity, drawn from its digest ``h``."""
     local = F.substring_index(entity, "@", 1)
+    hexes = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.substring(h, i % 127 + 1, F.lit(1))).otherwise(c)), "")
     ip = F.concat_ws(".", (_byte(h, 0) % 14 + 241).cast("string"), *[_byte(h, k).cast("string") for k in (1, 2)], (_byte(h, 3) % 254 + 1).cast("string"))
     cyr = entity.rlike(r"\p{IsCyrillic}")
     she = F.startswith(entity, F.lit("she:"))
@@ -135,11 +170,16 @@ def surrogate(kind: Column, entity: Column, attempt: Column, h: Column) -> Colum
         GIVEN, F.lit("Alex"),
     )
     family = F.initcap(F.when(cyr, F.concat(*[_pick(SYLLABLES["cyrillic"], h, k) for k in (2, 4, 6)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], h, k) for k in (2, 4, 6)])))
-    family = F.when(attempt > 0, F.concat(family, F.when(cyr, F.concat(*[_pick(SYLLABLES["cyrillic"], h, k) for k in (8, 10)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], h, k) for k in (8, 10)])))).otherwise(family)
-    words = F.size(F.split(entity, " "))
+    # Names grow with the attempts, so that any number of people has names of its own.
+    more = F.aggregate(
+        F.sequence(F.lit(1), attempt), F.lit(""),
+        lambda done, i: F.concat(done, *[F.when(cyr, _pick(SYLLABLES["cyrillic"], F.sha2(F.concat(h, i.cast("string")), 256), k)).otherwise(_pick(SYLLABLES["latin"], F.sha2(F.concat(h, i.cast("string")), 256), k)) for k in (0, 2)]),
+    )
+    family = F.when(attempt > 0, F.concat(family, more)).otherwise(family)
+    words = F.size(F.split(F.regexp_replace(F.substring_index(entity, ":", -1), rf"(?<![\p{{L}}])(?:{PARTS}) ", ""), " "))
     return (
         F.when(kind == "email", F.concat(_refill(local, h), F.lit("@"), F.substring(F.sha2(h, 256), 1, 10), F.lit(".example.net")))
-        .when(kind == "ip", ip)
+        .when(kind == "ip", F.when(F.contains(entity, F.lit(":")), hexes).otherwise(ip))
         .when(kind == "card", _luhn(_refill(entity, h, 1)))
         .when(kind == "name", F.when(words == 1, family).otherwise(F.concat_ws(" ", given, family)))
         .when(kind == "iban", _refill(entity, h, 2))
@@ -155,13 +195,15 @@ def in_shape(kind: Column, mention: Column, value: Column) -> Column:
     grouped = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(value, digits_before(i) + 1, F.lit(1))).otherwise(c)), "")
     spaces_before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), " ", ""))
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(value, spaces_before(i) + 1, F.lit(1)))), "")
-    title = F.regexp_extract(mention, f"^(?:{HE}|{SHE}) ", 0)
+    title = F.regexp_extract(mention, f"^{_TITLE}", 0)
+    bare = F.regexp_replace(mention, f"^{_TITLE}", "")
     lead = F.regexp_extract(mention, rf"^{KEYWORD}\"?", 0)
     return (
         F.when(kind.isin("phone", "card", "ssn"), grouped)
         .when(kind == "email", F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(value)).otherwise(value))
         .when(kind == "iban", iban)
-        .when(kind == "name", F.concat(title, value))
+        .when(kind == "name", F.concat(title, F.when(bare == F.upper(bare), F.upper(value)).otherwise(value)))
+        .when(kind == "ip", F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(value)).otherwise(value))
         .when(kind == "secret", F.concat(lead, value, F.when(F.endswith(mention, F.lit('"')), F.lit('"')).otherwise(F.lit(""))))
         .otherwise(value)
     )
@@ -171,7 +213,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (``kind``, ``entity``) rows with a ``surrogate`` each that no other row and no entity of the kind has."""
     todo = entities.select("kind", "entity", F.lit(0).alias("attempt"))
     done: list[DataFrame] = []
-    for attempt in range(MAX_ATTEMPTS):
+    left = None
+    for attempt in count():
         # The digest is written first: a long entity's surrogate asks for it at every character.
         keyed = cut(todo.withColumn("h", _digest(key, F.col("kind"), F.col("entity"), F.col("attempt"))))
         tried = cut(keyed.select("kind", "entity", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), F.col("h")).alias("surrogate")))
@@ -182,9 +225,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         good = cut(tried.join(best.hint("merge"), ["kind", "surrogate", "entity"], "left_semi").join(taken.hint("merge"), ["kind", "surrogate"], "left_anti").select("kind", "entity", "surrogate", F.lit(attempt).alias("attempt")))
         done.append(good)
         todo = cut(tried.join(good.hint("merge"), ["kind", "entity"], "left_anti").select("kind", "entity", F.lit(attempt + 1).alias("attempt")))
-        if todo.isEmpty():
+        before, left = left, todo.count()
+        if not left:
             return reduce(DataFrame.unionByName, done)
-    raise ValueError(f"no distinct surrogates after {MAX_ATTEMPTS} attempts: a type's format has too few values")
+        if attempt >= MAX_ATTEMPTS and left == before:
+            raise ValueError(f"no distinct surrogates after {attempt + 1} attempts: a type's format has too few values")
 
 
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,13 +248,23 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     has = F.coalesce(F.size("mentions"), F.lit(0)) > 0
     plain = rows.filter(~has).select("doc_id", "text", F.lit(0).alias("n_entities"))
     hit = rows.filter(has).select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "mentions")
+    # People of two words and more are looked for once more, where the text has them without a title or cue.
+    named = F.filter("mentions", lambda m: m.rlike(r"\h") & m.rlike(f"^(?:{_TITLE})?{_WORDS}$"))
+    people = F.filter(F.transform(named, lambda m: F.struct(bare_name(m).alias("name"), is_she(m).alias("she"))), lambda p: F.contains(p["name"], F.lit(" ")))
+    hit = hit.withColumn("people", people)
+    again = F.size("people") > 0
+    alternatives = F.array_join(F.array_distinct(F.transform("people", lambda p: F.regexp_replace(F.replace(p["name"], F.lit("."), F.lit("[.]")), " ", r"\\h{1,3}+"))), "|")
+    wide = F.concat(F.lit(PATTERN[:-1] + r"|(?<![\p{L}\p{N}])(?:"), alternatives, F.lit(r")(?![\p{L}\p{N}]))"))
+    hit = hit.withColumn("mentions", F.when(again, F.regexp_extract_all("text", wide, F.lit(0))).otherwise(F.col("mentions")))
+    women = F.transform(F.filter("people", lambda p: p["she"]), lambda p: p["name"])
     # Texts are cut into one row per piece; a document's pieces meet again under its row number.
-    pieces = F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), F.col("mentions").alias("mention"))
-    hit = cut(hit.select("doc_id", "row", F.posexplode(pieces).alias("pos", "p")).select("doc_id", "row", "pos", F.col("p.gap").alias("gap"), F.col("p.mention").alias("mention")))
+    gaps = F.when(again, F.split("text", wide, -1)).otherwise(F.split("text", PATTERN, -1))
+    pieces = F.arrays_zip(gaps.alias("gap"), F.col("mentions").alias("mention"), F.transform("mentions", lambda m: F.array_contains(women, bare_name(m))).alias("she"))
+    hit = cut(hit.select("doc_id", "row", F.posexplode(pieces).alias("pos", "p")).select("doc_id", "row", "pos", F.col("p.gap").alias("gap"), F.col("p.mention").alias("mention"), F.col("p.she").alias("she")))
     kind = entity_type(F.col("mention"))
     # The last piece of a text has no entity behind it and takes no part in the join.
     ends = hit.filter(F.col("mention").isNull()).select("doc_id", "row", "pos", F.coalesce("gap", F.lit("")).alias("piece"), F.lit(0).alias("one"))
-    found = hit.filter(F.col("mention").isNotNull()).withColumn("kind", kind).withColumn("entity", canonical(F.col("kind"), F.col("mention")))
+    found = hit.filter(F.col("mention").isNotNull()).withColumn("kind", kind).withColumn("entity", canonical(F.col("kind"), F.col("mention"), is_she(F.col("mention")) | F.coalesce("she", F.lit(False))))
     names = assign(cut(found.select("kind", "entity").distinct()), key).select("kind", "entity", "surrogate")
     joined = found.join(names.hint("merge"), ["kind", "entity"])
     piece = F.concat(F.coalesce("gap", F.lit("")), in_shape(F.col("kind"), F.col("mention"), F.col("surrogate")))
