@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import audit, index, recall, sketches
+from matchloom.operators import audit, feed, index, insights, ops, recall, sketches
 from matchloom.operators.buckets import BucketStore
 from matchloom.operators.feed_state import FeedState
 from matchloom.operators.store import SnapshotStore
@@ -79,3 +79,48 @@ def audit_counts(spark: SparkSession, d: str) -> DataFrame:
     j = b.jobs(spark, d).withColumn("status", F.when(F.col("status") == "dead", "lost").otherwise(F.col("status")))
     batches = j.filter("batch_id % 2 = 0").select("batch_id").distinct()
     return audit.write_audited({"ingest_jobs": j, "url_batches": batches}, shared_folder(spark))[1]
+
+
+QUEUES = ("click", "view", "purchase", "signup", "error")
+
+
+@query("depth_csv", ORACLE_SQL["depth_wide"].replace("coalesce(max(depth)", "CAST(coalesce(max(depth)").replace(", 0) AS ", ", 0) AS INTEGER) AS "))
+def depth_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Depths written as CSV, a column per queue, and read again."""
+    samples = b.table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("t"), F.col("event_type").alias("queue")).agg(F.count("*").alias("depth"))
+    path = shared_folder(spark)
+    ops.write_depth_csv(samples, list(QUEUES), path)
+    return spark.read.option("header", True).schema("t string, " + ", ".join(f"{q} int" for q in QUEUES)).csv(path).withColumn("t", F.date_format(F.col("t").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "pairs_without_vectors",
+    b.with_(*b.FEED_PARTS[:7]) + "SELECT profile_id, posting_id, CASE WHEN profile_id % 50 = 0 OR posting_id % 3 = 0 THEN 0 ELSE CAST(round(sim * 1e6) AS BIGINT) END AS score_millionths, round(skill, 6) AS skill_score FROM scored",
+)
+def pairs_without_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Given pairs scored from the vectors of both sides, of which some have none: these count as unlike."""
+    pairs = recall.recall(b.profiles(spark, d), b.postings(spark, d)).select("profile_id", "posting_id")
+    p = b.profiles_full(spark, d).withColumn("embedding", F.when(F.col("profile_id") % 50 != 0, F.col("embedding")))
+    q = b.postings_full(spark, d).withColumn("embedding", F.when(F.col("posting_id") % 3 != 0, F.col("embedding")))
+    s = feed.score_pairs(pairs, p, q)
+    return s.select("profile_id", "posting_id", F.round(F.col("semantic_score") * 1e6).cast("long").alias("score_millionths"), F.round("skill_score", 6).alias("skill_score"))
+
+
+_SPELLED = "CASE l_orderkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') ELSE p_name END"
+
+
+@query(
+    "gap_spellings",
+    f"""WITH v AS (SELECT l_suppkey % 10 AS scope, {_SPELLED} AS name, CASE l_returnflag WHEN 'A' THEN 'missing' WHEN 'R' THEN 'partial' ELSE 'matched' END AS bucket, l_linestatus = 'O' AS needed FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (l_orderkey % 3 = 1 AND l_suppkey % 2 = 0)),
+c AS (SELECT scope, name, count(*) AS n, count(*) FILTER (bucket = 'missing') AS missing, count(*) FILTER (bucket = 'missing' AND needed) AS blocking FROM v GROUP BY 1, 2)
+SELECT scope, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(blocking) AS BIGINT) AS blocking, arg_min(name, (len(string_split(name, ' ')), -n, -length(regexp_replace(name, '[^A-Z]', '', 'g')), name)) AS skill FROM c GROUP BY scope, replace(replace(lower(name), ' ', ''), '-', '')""",
+)
+def gap_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts that spell one skill in several ways, added up under the spelling that is shown."""
+    l, p = b.table(spark, d, "lineitem"), b.table(spark, d, "part")
+    rows = l.join(p, l.l_partkey == p.p_partkey).filter("not (l_orderkey % 3 = 1 and l_suppkey % 2 = 0)")
+    v = rows.select(
+        (F.col("l_suppkey") % 10).alias("scope"), F.expr(_SPELLED).alias("name"), F.when(F.col("l_returnflag") == "A", "missing").when(F.col("l_returnflag") == "R", "partial").otherwise("matched").alias("bucket"),
+        F.when(F.col("l_linestatus") == "O", "required").otherwise("preferred").alias("necessity"),
+    )
+    return insights.fold_spellings(insights.gap_counts(v, "scope"), "scope").select("scope", "missing", "blocking", "skill")
