@@ -579,10 +579,25 @@ def stream_status_counters(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.col("event_type").alias("status"), F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.max("n").alias("n"))
 
 
-@query("stream_dedupe", "SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query(
+    "stream_dedupe",
+    f"""WITH x AS (SELECT min(epoch(ts)) AS a, (max(epoch(ts)) - min(epoch(ts))) / 6 + 1 AS width FROM events),
+e AS (SELECT event_id, epoch(ts) AS t, {_SLOT} AS batch FROM events),
+r AS (SELECT event_id, t, batch, false AS again FROM e UNION ALL SELECT event_id, t + 2 * width, batch + 2, true FROM e, x WHERE event_id % 10 = 3 AND batch + 2 <= 5),
+m AS (SELECT b.batch, coalesce((SELECT max(t) FROM r WHERE r.batch < b.batch) - 3600, 0) AS mark FROM (SELECT DISTINCT batch FROM e) b)
+SELECT event_id % 10 AS kind, count(*) AS n FROM r LEFT JOIN m ON m.batch = r.batch - 1 WHERE NOT again OR t - 2 * (SELECT width FROM x) + 3600 <= mark GROUP BY 1""",
+)
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    s = flows.replay(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return flows.drain(flows.once(s, "ts", ["user_id", "event_type"], "3650 days")).agg(F.count("*").alias("n_keys"))
+    """Work delivered again: at once, in the next batch, or so much later that its state is gone and it passes once more."""
+    e = b.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ends = e.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("z")).first()
+    width = (ends["z"] - ends["a"]) / 6 + 1
+    first = e.withColumn("batch", F.floor((F.col("ts").cast("double") - ends["a"]) / width).cast("int"))
+    kind = F.col("event_id") % 10
+    later = first.filter(kind == 3).select("event_id", (F.col("ts").cast("double") + 2 * width).cast("timestamp").alias("ts"), (F.col("batch") + 2).alias("batch")).filter("batch <= 5")
+    rows = first.unionByName(first.filter(kind == 1)).unionByName(first.filter(kind == 2).withColumn("batch", F.col("batch") + 1)).unionByName(later)
+    out = flows.drain(flows.once(flows.in_batches(rows, "batch"), "ts", ["event_id"]))
+    return out.groupBy((F.col("event_id") % 10).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -651,11 +666,14 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY match_id ORDER BY created_at ROWS UN
 SELECT match_id, count(DISTINCT sid) AS sessions, count(*) AS n_events FROM s GROUP BY 1""",
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    ev = flows.replay(spark, f"{d}/events.parquet").filter(F.col("event_type").isin(*b.VERDICT))
-    s = ev.select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("ts"), b._case("event_type", b.VERDICT, None).alias("verdict"))
-    out = flows.drain(flows.feedback_sessions(s, "match_id", "ts", "verdict", late="3650 days"), "complete")
-    return out.groupBy("match_id").agg(F.count("*").alias("sessions"), F.sum("n_events").alias("n_events"))
-
+    """Sessions over six batches, each given out once the watermark has passed it; a last event of another match moves it past all."""
+    e = b.table(spark, d, "events").filter(F.col("event_type").isin(*b.VERDICT))
+    e = e.select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("ts"), b._case("event_type", b.VERDICT, None).alias("verdict"))
+    ends = e.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("z")).first()
+    rows = e.withColumn("batch", F.floor((F.col("ts").cast("double") - ends["a"]) / ((ends["z"] - ends["a"]) / 6 + 1)).cast("int"))
+    last = e.agg(F.lit(-1).cast("long").alias("match_id"), (F.max("ts") + F.expr("interval 3 days")).alias("ts"), F.lit("applied").alias("verdict"), F.lit(6).alias("batch"))
+    out = flows.drain(flows.feedback_sessions(flows.in_batches(rows.unionByName(last), "batch"), "match_id", "ts", "verdict"))
+    return out.filter("match_id >= 0").groupBy("match_id").agg(F.count("*").alias("sessions"), F.sum("n_events").alias("n_events"))
 
 
 # --- functions ------------------------------------------------------------------------

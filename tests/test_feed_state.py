@@ -45,7 +45,7 @@ def compared(df):
     return sorted((r.profile_id, r.feed_rank, r.posting_id, round(r.semantic_score, 5), round(r.skill_score, 6), round(r.final_score, 5), str(r.breakdown.counts)) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_a_full_rebuild(spark, tmp_path, seed):
     w = World(seed)
     state = FeedState(BucketStore(spark, str(tmp_path)), recall_limit=12, feed_size=8, reserve=3, buckets=4)
