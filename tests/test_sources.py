@@ -112,3 +112,16 @@ def test_board_source_reads_pages_and_goes_on_by_board(spark, tmp_path):
     assert {r.source_id: r.complete for r in catalog.completeness(walks).collect()} == {"breezy/x": True, "smartrecruiters/a": True, "smartrecruiters/b": True}
     with pytest.raises(Exception, match="path"):
         spark.read.format("boards").load().count()
+
+
+def test_pages_of_many_boards_share_files_and_the_last_answer_counts(spark, tmp_path):
+    root = str(tmp_path / "in")
+    board_source.register(spark)
+    bodies = spark.range(3000).select(F.concat(F.lit("b"), (F.col("id") % 1000).cast("string")).alias("board_token"), (F.col("id") / 1000).cast("int").alias("page_no"), F.concat(F.lit("old\n"), F.col("id").cast("string")).alias("body")).withColumn("page_no", F.col("page_no") + 1)
+    board_source.land(bodies, F.when(F.substring("board_token", 2, 9).cast("int") % 2 == 0, "lever").otherwise("breezy"), root)
+    assert len(list((tmp_path / "in").rglob("*.parquet"))) <= 2 * board_source.SHELVES
+    page(spark, root, "lever", "b4", 2, "new")
+    got = {(r.kind, r.board_token, r.page_no): r.body for r in spark.read.format("boards").load(root).collect()}
+    assert len(got) == 3000 and got.pop(("lever", "b4", 2)) == "new" and got["breezy", "b7", 3] == "old\n2007"
+    (next((tmp_path / "in").glob("landing=*")) / "_SUCCESS").unlink()  # as if it were still being written
+    assert spark.read.format("boards").load(root).count() in (1, 3000)
