@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,14 +48,29 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(path)
 
 
-def in_batches(rows: DataFrame, batch: str) -> DataFrame:
-    """``rows`` as a stream of one micro-batch for each value of the column ``batch``, in their order: written to the shared folder, one file each."""
+#: Rows of a file of :func:`in_batches`, about.
+FILE_ROWS = 250_000
+
+
+def in_batches(rows: DataFrame, batch: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``rows`` as a stream of one micro-batch for each value of the column ``batch``, in their order.
+
+    Written to the shared folder, the same number of files for each: as many as
+    the largest batch needs at ``file_rows`` rows a file, so no task reads a
+    whole batch.  Batches that fill fewer files get empty ones.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark)
-    numbers = sorted(r[0] for r in rows.select(batch).distinct().collect())  # as many as batches are wanted
-    for n in numbers:
-        rows.filter(F.col(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    sizes = {r[0]: r[1] for r in rows.groupBy(batch).count().collect()}  # as many as batches are wanted
+    files = max(1, -(-max(sizes.values(), default=0) // file_rows))
+    schema, number = rows.drop(batch).schema, 0
+    for n in sorted(sizes):
+        number += files
+        mine = rows.filter(F.col(batch) == n).drop(batch)
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.mode("append").parquet(folder)
+        while len(spark.read.schema(schema).parquet(folder).inputFiles()) < number:
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -151,61 +166,119 @@ def feedback_sessions(stream: DataFrame, user: str, ts: str, verdict: str, gap:
 
 # --- stateful --------------------------------------------------------------------------
 
-PACED = "host string, request_id long, ts timestamp, wait_s double, over_limit boolean"
+PACED = "host string, request_id long, ts_us long, wait_s double, over_limit boolean"
+#: Waiting requests of a host that lie in one list; more are dealt to slots.
+FEW = 4096
 
 
 class TokenBucket(StatefulProcessor):
     """Tokens of one host: refilled at ``rate`` a second up to ``burst``; a request without a token waits for one.
 
-    Requests wait in slots of ``slot_s`` seconds of event time until the
-    watermark has passed the slot, and are then served in order of time.
-    Chunks of rows go into their slots as they come; no more than one slot of
-    one host is in memory.  A host that was idle for ``idle_s`` seconds, when
-    its bucket is full again, has no state.
+    Requests wait until the watermark has passed their slot of ``slot_s``
+    seconds of event time, and are then served in order of time.  Up to
+    :data:`FEW` of a host wait in one list, so that a host costs a few calls to
+    its state in a batch, not a few for every slot; beyond, each slot has an
+    entry, and no more than the list and one slot of one host are in memory.
+    A host has one timer: the end of its first slot that waits or, if none
+    does, when its bucket is full again after ``idle_s`` seconds.  Then it has
+    no state.
     """
 
     def __init__(self, rate: float, burst: int, most_wait: float, slot_s: int, idle_s: float) -> None:
-        self.rate, self.burst, self.most_wait, self.slot = rate, burst, most_wait, 1000 * slot_s
+        self.rate, self.burst, self.most_wait, self.slot = rate, burst, most_wait, 1_000_000 * slot_s
         self.idle = int(1000 * max(idle_s, burst / rate))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("bucket", "tokens double, at double, idle_from long")
-        self.slots = handle.getMapState("slots", "slot long", "ids array<long>, ts array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            at = chunk["ts"].map(pd.Timestamp.timestamp)
-            for slot, part in chunk.groupby((at * 1000 // self.slot).astype("int64")):
-                slot = int(slot)
-                ids, ts = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ([], [])
-                self.slots.updateValue((slot,), ([*ids, *part["request_id"].tolist()], [*ts, *at[part.index].tolist()]))
-                self.handle.registerTimer((slot + 1) * self.slot)
+        # ``first`` is the lowest slot that waits; ``few`` and ``dealt`` count the entries of the list and of the slots; ``timer`` is set for then.
+        self.state = handle.getValueState("bucket", "tokens double, at double, idle_from long, first long, few long, dealt long, timer long")
+        self.few = handle.getListState("few", "id long, us long")
+        self.slots = handle.getMapState("slots", "slot long", "ids array<long>, us array<long>")
+
+    def _deal(self, rows: list[tuple[int, int]]) -> int:
+        """Put requests into their slots; returns how many slots are new."""
+        by_slot: dict[int, list[tuple[int, int]]] = {}
+        for row in rows:
+            by_slot.setdefault(row[1] // self.slot, []).append(row)
+        new = 0
+        for slot, part in by_slot.items():
+            known = self.slots.containsKey((slot,))
+            ids, us = self.slots.getValue((slot,)) if known else ([], [])
+            self.slots.updateValue((slot,), ([*ids, *[i for i, _ in part]], [*us, *[t for _, t in part]]))
+            new += not known
+        return new
+
+    def _set_timer(self, old: int | None, due: int) -> int:
+        if old != due:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        return due
+
+    def _slot_end(self, slot: int) -> int:
+        return (slot + 1) * self.slot // 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        tokens, at, idle_from, first, few, dealt, timer = self.state.get() or (float(self.burst), None, 0, None, 0, 0, None)
+        held: list[tuple[int, int]] = []
+        for r in rows:
+            held.append((r.request_id, r.ts_us))
+            slot = r.ts_us // self.slot
+            first = slot if first is None else min(first, slot)
+            if len(held) == FEW:
+                dealt += self._deal(held)
+                held = []
+        if few + len(held) > FEW:
+            dealt += self._deal([*held, *((r[0], r[1]) for r in self.few.get())])
+            self.few.clear()
+            few = 0
+        elif held:
+            self.few.appendList(held)
+            few += len(held)
+        self.state.update((tokens, at, idle_from, first, few, dealt, self._set_timer(timer, self._slot_end(first))))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        slot = due // self.slot - 1
-        if due % self.slot or not self.slots.containsKey((slot,)):
-            if self.state.exists() and self.state.get()[2] + self.idle <= due:
-                self.state.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state, due = self.state.get(), expiredTimerInfo.getExpiryTimeInMs()
+        if state is None or state[6] != due:
+            return
+        tokens, at, idle_from, first, few, dealt, _ = state
+        if first is None:
+            self.state.clear()  # idle since ``idle_from``
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting: dict[int, list[tuple[int, int]]] = {}
+        if few:
+            for i, us in self.few.get():
+                waiting.setdefault(us // self.slot, []).append((us, i))
+        entries = sorted(k[0] for k in self.slots.keys()) if dealt else []
+        served = [n for n in sorted({*waiting, *entries}) if self._slot_end(n) <= passed]
+        stored = set(entries)
+        for slot in served:
+            order = waiting.pop(slot, [])
+            if slot in stored:
+                order += zip(*reversed(self.slots.getValue((slot,))))
+                self.slots.removeKey((slot,))
+            for us, i in sorted(order):
+                t = us / 1e6
+                tokens = min(float(self.burst), tokens + max(0.0, t - (t if at is None else at)) * self.rate)
+                at = t if at is None else max(at, t)
+                wait = 0.0 if tokens >= 1 else (1 - tokens) / self.rate
+                over = wait > self.most_wait
+                if not over:
+                    tokens -= 1  # a request that would wait too long is released and takes none
+                yield Row(host=key[0], request_id=i, ts_us=us, wait_s=wait, over_limit=over)
+        left = [(i, us) for part in waiting.values() for us, i in part]
+        if few and len(left) < few:
+            self.few.put(left) if left else self.few.clear()
+        later = [*waiting, *(n for n in entries if self._slot_end(n) > passed)]
+        idle_from = self._slot_end(served[-1]) if served else idle_from
+        next_due = self._slot_end(min(later)) if later else idle_from + self.idle + 1
+        if next_due <= passed:
+            self.state.clear()  # idle for long enough already
             return
-        tokens, at, _ = self.state.get() if self.state.exists() else (float(self.burst), None, 0)
-        ids, times = self.slots.getValue((slot,))
-        order = sorted(zip(times, ids))
-        waits, over = [], []
-        for t, _ in order:
-            tokens = min(float(self.burst), tokens + max(0.0, t - (t if at is None else at)) * self.rate)
-            at = t if at is None else max(at, t)
-            wait = 0.0 if tokens >= 1 else (1 - tokens) / self.rate
-            waits.append(wait)
-            over.append(wait > self.most_wait)
-            if not over[-1]:
-                tokens -= 1  # a request that would wait too long is released and takes none
-        self.slots.removeKey((slot,))
-        self.state.update((tokens, at, due))
-        self.handle.registerTimer(due + self.idle + 1)
-        yield pd.DataFrame({"host": key[0], "request_id": [i for _, i in order], "ts": pd.to_datetime([round(1e6 * t) for t, _ in order], unit="us"), "wait_s": waits, "over_limit": over})
+        self.handle.registerTimer(next_due)
+        self.state.update((tokens, at, idle_from, min(later, default=None), len(left), dealt - sum(n in stored for n in served), next_due))
 
     def close(self) -> None:
         pass
@@ -218,8 +291,9 @@ def pace_requests(stream: DataFrame, rate: float = 1.0, burst: int = 3, most_wai
     one after the other, which is what pacing means; those of a slot are what a
     task holds at once.
     """
-    timed = stream.select("host", "request_id", "ts").withWatermark("ts", late)
-    return timed.groupBy("host").transformWithStateInPandas(TokenBucket(rate, burst, most_wait, slot_s, idle_s), PACED, "Append", "EventTime")
+    timed = stream.select("host", "request_id", "ts", F.unix_micros("ts").alias("ts_us")).withWatermark("ts", late)
+    paced = timed.groupBy("host").transformWithState(TokenBucket(rate, burst, most_wait, slot_s, idle_s), PACED, "Append", "EventTime")
+    return paced.select("host", "request_id", F.timestamp_micros("ts_us").alias("ts"), "wait_s", "over_limit")
 
 
 JOB_STATE = "job_id long, status string, attempts int, last_error string, next_delay_s double"

@@ -80,3 +80,30 @@ def test_duplicates_and_sessions(spark, shared):
     assert flows.drain(flows.once(stream, "ts", ["kind", "dedupe_key"])).count() == 2
     out = flows.drain(flows.feedback_sessions(flows.replay(spark, f"{shared}/in"), "user_id", "ts", "verdict"), "complete")
     assert sorted((r.n_events, r.n_verdicts, r.applied) for r in out.collect()) == [(1, 1, False), (2, 2, True)]
+
+
+def test_busy_host_in_slots_and_list(spark, shared):
+    """More requests of a host than its list holds: the waits of a plain fold; and a host costs one timer, however many slots wait."""
+    rows = [("e.com", n, (n * 7919) % 5000 * 0.4) for n in range(5000)] + [("f.com", 10_000 + n, 20 * n) for n in range(100)]
+    stream = as_stream(spark, shared, stamped(spark, rows), stamped(spark, [("-", -1, 10**6)]))
+    with flows.rocksdb(spark):
+        out = flows.drain(flows.pace_requests(stream, rate=1.0, burst=3, most_wait=1.5, slot_s=10))
+    got = {r.request_id: (round(r.wait_s, 6), r.over_limit) for r in out.filter("host <> '-'").collect()}
+    for host in ("e.com", "f.com"):
+        tokens, at = 3.0, None
+        for t, n in sorted((t, n) for h, n, t in rows if h == host):
+            tokens, at = min(3.0, tokens + (t - at if at is not None else 0)), t
+            wait = 0.0 if tokens >= 1 else 1 - tokens
+            assert abs(got[n][0] - wait) < 1e-4 and got[n][1] == (wait > 1.5)
+            tokens -= wait <= 1.5
+    assert len(got) == 5100
+
+
+def test_batches_of_several_files(spark):
+    """No task reads a whole batch, batches keep their rows and order, and small ones are filled up with empty files."""
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 900, 1).otherwise(F.when(F.col("id") < 999, 2).otherwise(3)).alias("batch"))
+    stream = flows.in_batches(rows, "batch", file_rows=100)
+    seen = {}
+    q = stream.writeStream.foreachBatch(lambda df, n: seen.update({n: (df.rdd.getNumPartitions(), sorted(r.id for r in df.collect()))})).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [seen[n][1] for n in sorted(seen)] == [list(range(900)), list(range(900, 999)), [999]]
