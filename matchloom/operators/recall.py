@@ -20,6 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 RECALL_LIMIT = 200
 BLOCK_ROWS = 4096
+#: Similarities that a task holds at once (8 MB of doubles, and a few copies while they are sorted).
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -62,22 +64,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
 
 
+def slices(profiles: int, postings: int) -> Iterator[slice]:
+    """Profiles in parts that hold at most about :data:`CELLS` similarities with the postings."""
+    step = max(1, CELLS // max(1, postings))
+    return (slice(k, k + step) for k in range(0, profiles, step))
+
+
 def _best_of_block(limit: int):
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         p, q = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
         ids, others = left.column("profile_id").to_numpy(), right.column("posting_id").to_numpy()
         if not len(p) or not len(q):
             return pa.table({"profile_id": pa.array([], pa.int64()), "posting_id": pa.array([], pa.int64()), "semantic_score": pa.array([], pa.float64())})
-        sim = p @ q.T
         k = min(limit, len(others))
         # Ties at the border of a block's best are kept by identifier: sort on (-similarity, posting).
         order = np.argsort(others, kind="stable")
-        top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
-        return pa.table({
-            "profile_id": pa.array(np.repeat(ids, k), pa.int64()),
-            "posting_id": pa.array(others[top].ravel(), pa.int64()),
-            "semantic_score": pa.array(np.take_along_axis(sim, top, 1).ravel()),
-        })
+        q, others = q[order], others[order]
+        found, score = np.empty((len(p), k), np.int64), np.empty((len(p), k))
+        for rows in slices(len(p), len(others)):
+            sim = p[rows] @ q.T
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            found[rows], score[rows] = others[top], np.take_along_axis(sim, top, 1)
+        return pa.table({"profile_id": pa.array(np.repeat(ids, k), pa.int64()), "posting_id": pa.array(found.ravel(), pa.int64()), "semantic_score": pa.array(score.ravel())})
 
     return best
 
@@ -99,15 +107,19 @@ def _best_of_stream(limit: int, shared):
         ids, p = shared.value
         if not len(ids):
             return
-        score, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        parts = list(slices(len(ids), BLOCK_ROWS))
+        best = [(np.zeros((len(ids[rows]), 0)), np.zeros((len(ids[rows]), 0), np.int64)) for rows in parts]
         for b in batches:
             for k in range(0, b.num_rows, BLOCK_ROWS):
                 part = b.slice(k, BLOCK_ROWS)
-                score = np.concatenate([score, p @ _matrix(part.column(1)).T], axis=1)
-                found = np.concatenate([found, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], axis=1)
-                top = np.lexsort((found, -score), axis=1)[:, :limit]
-                score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["profile_id", "posting_id", "semantic_score"])
+                q, others = _matrix(part.column(1)), part.column(0).to_numpy()
+                for n, rows in enumerate(parts):
+                    score = np.concatenate([best[n][0], p[rows] @ q.T], axis=1)
+                    found = np.concatenate([best[n][1], np.broadcast_to(others, (len(score), len(others)))], axis=1)
+                    top = np.lexsort((found, -score), axis=1)[:, :limit]
+                    best[n] = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+        for rows, (score, found) in zip(parts, best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["profile_id", "posting_id", "semantic_score"])
 
     return run
 
@@ -181,10 +193,16 @@ def recall_cells(profiles: DataFrame, postings: DataFrame, limit: int = RECALL_L
     sizes = F.broadcast(sizes.select("cell", "parts"))  # one row per cell
     dealt = assigned.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("posting_id"), F.col("parts")).cast("int")).drop("parts")
     probing = left.withColumn("cell", F.explode(F.slice(nearest("embedding"), 1, probes))).join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = probing.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(_best_of_block(limit + 32), _FOUND)
+    probing, dealt = in_blocks(probing, dealt, max(1, -(-left.count() // block_rows)))
+    found = probing.groupBy("cell", "part", "block").cogroup(dealt.groupBy("cell", "part", "block")).applyInArrow(_best_of_block(limit + 32), _FOUND)
     return top_k(found, limit)
 
 
+def in_blocks(profiles: DataFrame, postings: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``block``: profiles are dealt over blocks, postings stand in each, so no task holds all profiles of a cell."""
+    return profiles.withColumn("block", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int")), postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
 def recall_at_k(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact rows that the approximate form found: one row (exact_rows, found_rows, recall)."""
     both = exact.select("profile_id", "posting_id").join(approximate.select("profile_id", "posting_id", F.lit(1).alias("hit")), ["profile_id", "posting_id"], "left")

@@ -125,3 +125,28 @@ def test_gaps_fold_spellings_before_cutting(spark):
     per = insights.skill_gaps(v, "profile_id", top=1).collect()
     assert len(per) == 1 and per[0].skill == "GraphQL"
     assert [r.severity for r in insights.with_severity(insights.skill_gaps(v).withColumn("analyzed", F.lit(4))).collect()] == ["medium", "medium"]
+
+
+def test_recall_in_small_parts_is_the_same(spark, monkeypatch):
+    """A task holds parts of a block's similarities at once, whichever way blocks are formed."""
+    import numpy as np
+    import pyarrow as pa
+
+    from matchloom.operators import recall as r
+
+    rng = np.random.default_rng(3)
+    vectors = lambda n: pa.array(rng.normal(size=(n, 8)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    left = pa.table({"profile_id": np.arange(50), "embedding": vectors(50)})
+    right = pa.table({"posting_id": rng.permutation(300), "embedding": vectors(300)})
+    whole = r._best_of_block(20)(left, right)
+    monkeypatch.setattr(r, "CELLS", 7 * 300)
+    seen = []
+    cut = r.slices
+    monkeypatch.setattr(r, "slices", lambda n, m: (seen.append(s) or s for s in cut(n, m)))
+    parts = r._best_of_block(20)(left, right)
+    assert parts.column("posting_id").equals(whole.column("posting_id")) and len(seen) == 8
+    assert np.allclose(parts.column("semantic_score"), whole.column("semantic_score"))
+    assert max(s.stop - s.start for s in seen) * 300 <= r.CELLS
+    sim = r._matrix(left.column("embedding")) @ r._matrix(right.column("embedding")).T
+    best = right.column("posting_id").to_numpy()[np.argsort(-sim, axis=1)[:, :20]]
+    assert np.array_equal(np.array(whole.column("posting_id")).reshape(50, 20), best)
