@@ -26,23 +26,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from matchloom.operators.recall import BLOCK_ROWS, RECALL_LIMIT, FeedFilters, _matrix, eligible, recall, top_k
+from matchloom.operators.recall import BLOCK_ROWS, RECALL_LIMIT, FeedFilters, _matrix, eligible, in_blocks, recall, slices, top_k
 from matchloom.operators.store import SnapshotStore
 
 #: Postings and profiles that fitting and measuring look at, at most.
 SAMPLE_POSTINGS, SAMPLE_PROFILES = 50_000, 100
-#: Codes of a profile that are compared exactly, as a multiple of the rows wanted.
+#: Codes of a profile that are compared exactly, as a multiple of the rows wanted: at least this, more where :func:`tuned` finds that they are needed.
 RERANK = 3
-WORDS = 16
+WORDS = 256
 
 
 @dataclass(frozen=True)
 class Codebook:
-    """Centres (cells x dimensions), words (parts x words x dimensions of a part) and how many cells a search opens."""
+    """Centres (cells x dimensions), words (parts x words x dimensions of a part), how many cells a search opens and how many codes it compares exactly (times the rows wanted)."""
 
     centres: np.ndarray
     words: np.ndarray
     probes: int
+    rerank: int = RERANK
 
     @property
     def cells(self) -> int:
@@ -95,7 +96,7 @@ def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
     words = x[rng.choice(len(x), k, replace=len(x) < k)] if len(x) else np.zeros((k, x.shape[1]))
     for _ in range(rounds):
-        near = ((words**2).sum(1)[None] - 2 * x @ words.T).argmin(1) if len(x) else np.zeros(0, int)
+        near = np.concatenate([((words**2).sum(1)[None] - 2 * x[rows] @ words.T).argmin(1) for rows in slices(len(x), k)] or [np.zeros(0, int)])
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(words)
         np.add.at(total, near, x)
@@ -170,10 +171,13 @@ def _best_of_cell(book: Callable[[], Codebook], keep: int):
             return pa.table({"profile_id": pa.array([], pa.int64()), "posting_id": pa.array([], pa.int64()), "estimate": pa.array([], pa.float64())})
         b = book()
         code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(others), -1)
-        score = b.score(p, right.column("cell")[0].as_py(), code, b.tables(p))
         k = min(keep, len(others))
-        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        return pa.table({"profile_id": pa.array(np.repeat(ids, k)), "posting_id": pa.array(others[top].ravel()), "estimate": pa.array(np.take_along_axis(score, top, 1).ravel())})
+        found, estimate = np.empty((len(p), k), np.int64), np.empty((len(p), k))
+        for rows in slices(len(p), len(others)):
+            score = b.score(p[rows], right.column("cell")[0].as_py(), code, b.tables(p[rows]))
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            found[rows], estimate[rows] = others[top], np.take_along_axis(score, top, 1)
+        return pa.table({"profile_id": pa.array(np.repeat(ids, k)), "posting_id": pa.array(found.ravel()), "estimate": pa.array(estimate.ravel())})
 
     return best
 
@@ -201,8 +205,9 @@ def search(profiles: DataFrame, postings: DataFrame, codes: DataFrame, book: Cod
 
     left = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
     probing = left.withColumn("cell", F.explode(nearest("embedding"))).join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keep = rerank or RERANK * limit
-    found = probing.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(_best_of_cell(lambda: shared.value, keep), "profile_id long, posting_id long, estimate double")
+    keep = rerank or book.rerank * limit
+    probing, dealt = in_blocks(probing, dealt, max(1, -(-left.count() // BLOCK_ROWS)))
+    found = probing.groupBy("cell", "part", "block").cogroup(dealt.groupBy("cell", "part", "block")).applyInArrow(_best_of_cell(lambda: shared.value, keep), "profile_id long, posting_id long, estimate double")
     # The best estimates of each profile; a profile has at most ``keep`` of each cell and part.
     w = Window.partitionBy("profile_id").orderBy(F.desc("estimate"), "posting_id")
     near = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).select("profile_id", "posting_id")
@@ -216,14 +221,53 @@ def _product(p: pd.Series, q: pd.Series) -> pd.Series:
 
 
 def tuned(book: Codebook, profiles: DataFrame, postings: DataFrame, codes: DataFrame, limit: int = RECALL_LIMIT, target: float = 0.95) -> Codebook:
-    """``book`` with the smallest number of cells that holds ``target`` of the exact neighbours of at most ``SAMPLE_PROFILES`` profiles."""
+    """``book`` with the fewest cells and exact comparisons that hold ``target`` of the exact neighbours of at most ``SAMPLE_PROFILES`` profiles.
+
+    The cells alone hold a share halfway from ``target`` to all.  How many codes are estimated
+    higher than a neighbour is counted over the codes of these cells, all of them, where they lie.
+    """
     left = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
     asked = left.orderBy(F.xxhash64("profile_id"), "profile_id").limit(SAMPLE_PROFILES)
-    orders = {r["profile_id"]: book.order(np.array([r["embedding"]], float))[0] for r in asked.collect()}
+    vectors = {r["profile_id"]: np.array(r["embedding"], float) for r in asked.collect()}
+    orders = {i: book.order(v[None])[0] for i, v in vectors.items()}
     known = recall(asked, postings, limit).select("profile_id", "posting_id")  # at most SAMPLE_PROFILES x limit rows
-    depth = [int(np.flatnonzero(orders[r["profile_id"]] == r["cell"])[0]) for r in codes.join(F.broadcast(known), "posting_id").select("profile_id", "cell").collect()]
-    share = np.cumsum(np.bincount(depth, minlength=book.cells)) / max(1, len(depth))
-    return replace(book, probes=int(np.searchsorted(share, target - 1e-12)) + 1 if depth else 1)
+    near = codes.join(F.broadcast(known), "posting_id").select("profile_id", "cell", "code").collect()
+    if not near:
+        return replace(book, probes=1)
+    depth = np.array([int(np.flatnonzero(orders[r["profile_id"]] == r["cell"])[0]) for r in near])
+    share = np.cumsum(np.bincount(depth, minlength=book.cells)) / len(near)
+    probes = int(np.searchsorted(share, (1 + target) / 2 - 1e-12)) + 1
+
+    bars: dict[int, list[float]] = {}  # estimates of each profile's neighbours that the cells hold
+    for r, d in zip(near, depth):
+        if d < probes:
+            v = vectors[r["profile_id"]][None]
+            bars.setdefault(r["profile_id"], []).append(float(book.score(v, r["cell"], np.frombuffer(r["code"], np.uint8)[None], book.tables(v))[0, 0]))
+    shared = postings.sparkSession.sparkContext.broadcast((book, [(i, vectors[i], orders[i][:probes], np.sort(b)) for i, b in sorted(bars.items())]))
+
+    def higher(batches):
+        b, asked_ = shared.value
+        counts = [np.zeros(len(bar) + 1, np.int64) for _, _, _, bar in asked_]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column(0).to_numpy()
+            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(cells), -1)
+            for n, (_, v, opened, bar) in enumerate(asked_):
+                rows = np.flatnonzero(np.isin(cells, opened))
+                table = b.tables(v[None])[:, 0]
+                score = (b.centres @ v)[cells[rows]] + sum(t[code[rows, k]] for k, t in enumerate(table))
+                counts[n] += np.bincount(np.searchsorted(bar, score, side="left"), minlength=len(bar) + 1)
+        for (i, _, _, _), c in zip(asked_, counts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c)], ["profile_id", "bar", "n"])
+
+    per = codes.join(eligible(postings).select("posting_id").hint("merge"), "posting_id", "left_semi").select("cell", "code").mapInArrow(higher, "profile_id long, bar int, n long")
+    above: dict[int, np.ndarray] = {i: np.zeros(len(b) + 1, np.int64) for i, b in bars.items()}
+    for r in per.groupBy("profile_id", "bar").agg(F.sum("n").alias("n")).collect():
+        above[r["profile_id"]][r["bar"]] = r["n"]
+    places = np.sort(np.concatenate([np.cumsum(c[::-1])[::-1][1:] for c in above.values()]) + 1)  # of each neighbour among the estimates
+    needed = places[min(len(places), int(np.ceil(target * len(near)))) - 1]
+    return replace(book, probes=probes, rerank=max(RERANK, int(-(-needed // limit))))
 
 
 class RecallIndex:
@@ -249,12 +293,12 @@ class RecallIndex:
 
     def _save(self, book: Codebook) -> None:
         spark: SparkSession = self.store.spark
-        row = (book.centres.tolist(), book.words.tolist(), book.probes)
-        self.store.write(self.book_table, spark.createDataFrame([row], "centres array<array<double>>, words array<array<array<double>>>, probes int").coalesce(1))
+        row = (book.centres.tolist(), book.words.tolist(), book.probes, book.rerank)
+        self.store.write(self.book_table, spark.createDataFrame([row], "centres array<array<double>>, words array<array<array<double>>>, probes int, rerank int").coalesce(1))
 
     def book(self) -> Codebook:
         r = self.store.read(self.book_table).first()
-        return Codebook(np.array(r["centres"], float), np.array(r["words"], float), r["probes"])
+        return Codebook(np.array(r["centres"], float), np.array(r["words"], float), r["probes"], r["rerank"])
 
     def codes(self) -> DataFrame:
         return self.store.read(self.code_table)

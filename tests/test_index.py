@@ -88,3 +88,14 @@ def test_odd_sizes(spark, tmp_path):
     assert known.search(profiles(spark, x[:2]), q.limit(0), 3).count() == 0
     with pytest.raises(ValueError, match="no embedded posting"):
         index.fit(q.limit(0))
+
+
+def test_vectors_without_structure_get_the_comparisons_they_need(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, p = postings(spark, x, closed=lambda i: i % 2 == 0).repartition(4).cache(), profiles(spark, x[:300])
+    known = index.RecallIndex(SnapshotStore(spark, str(tmp_path)))
+    book = known.create(q, p, words=16)  # coarse words: three times the rows wanted are too few
+    assert book.rerank > index.RERANK and known.book().rerank == book.rerank
+    assert recall.recall_at_k(recall.recall(p, q), known.search(p, q)).first()["recall"] >= 0.9
