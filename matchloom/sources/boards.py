@@ -112,8 +112,15 @@ def register_board(kind: str, adapter: Adapter, *shape: str) -> None:
     _SHAPES[kind] = shape or ("$",)
 
 
-def payloads(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Whole payload files of one kind: board_token, page_no (from the file name, 1 if it has none), body."""
+def pack(bodies: DataFrame, root: str) -> None:
+    """Land payloads (kind, board_token, page_no, body) many to a file, where a file for each would be too many."""
+    bodies.select("kind", "board_token", F.col("page_no").cast("int").alias("page_no"), "body").repartition("kind", F.pmod(F.xxhash64("board_token"), F.lit(32))).write.mode("append").partitionBy("kind").parquet(root)
+
+
+def payloads(spark: SparkSession, root: str, kind: str, packed: bool = False) -> DataFrame:
+    """Whole payload files of one kind: board_token, page_no (from the file name, 1 if it has none), body; ``packed`` ones are those of :func:`pack`."""
+    if packed:
+        return spark.read.schema("kind string, board_token string, page_no int, body string").parquet(root).filter(F.col("kind") == kind).select("board_token", "page_no", "body")
     raw = spark.read.text(f"{root}/kind={kind}", wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"))
     number = F.regexp_extract(F.substring_index("path", "/", -1), r"(\d+)\D*$", 1)
     return raw.select(F.regexp_extract("path", r"board=([^/]+)/", 1).alias("board_token"), F.coalesce(F.try_to_number(number, F.lit("999999999")).cast("int"), F.lit(1)).alias("page_no"), "body")
@@ -126,11 +133,11 @@ def enumerate_board(kind: str, bodies: DataFrame) -> DataFrame:
     return ADAPTERS[kind](bodies).select(F.lit(kind).alias("kind"), *_UNIFIED)
 
 
-def enumerate_all(spark: SparkSession, root: str, kinds: list[str] | None = None) -> DataFrame:
+def enumerate_all(spark: SparkSession, root: str, kinds: list[str] | None = None, packed: bool = False) -> DataFrame:
     """Unified rows of all kinds under ``root``."""
     out = None
     for kind in kinds or list(ADAPTERS):
-        rows = enumerate_board(kind, payloads(spark, root, kind))
+        rows = enumerate_board(kind, payloads(spark, root, kind, packed))
         out = rows if out is None else out.unionByName(rows)
     return out
 

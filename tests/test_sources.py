@@ -125,3 +125,11 @@ def test_pages_of_many_boards_share_files_and_the_last_answer_counts(spark, tmp_
     assert len(got) == 3000 and got.pop(("lever", "b4", 2)) == "new" and got["breezy", "b7", 3] == "old\n2007"
     (next((tmp_path / "in").glob("landing=*")) / "_SUCCESS").unlink()  # as if it were still being written
     assert spark.read.format("boards").load(root).count() in (1, 3000)
+
+
+def test_packed_payloads_share_files(spark, tmp_path):
+    rows = [(kind, f"t{n}", 1, json.dumps(body)) for kind, body in PAYLOADS.items() for n in range(100)]
+    boards.pack(spark.createDataFrame(rows, "kind string, board_token string, page_no int, body string"), str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").rglob("*.parquet"))) <= 32 * len(PAYLOADS) < len(rows)
+    got = boards.enumerate_all(spark, str(tmp_path / "in"), packed=True)
+    assert got.count() == 100 * 11 and got.select("kind", "board_token").distinct().count() == 800
