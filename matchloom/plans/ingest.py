@@ -178,9 +178,9 @@ def stream_catalog(spark: SparkSession, d: str) -> DataFrame:
     root = flows.shared_folder(spark)
     s = buckets.BucketStore(spark, f"{root}/store")
     s.create("postings", _catalog(spark, d), ["canonical_key"], 8)
-    b.table(spark, d, "documents").select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{root}/in")
+    docs = b.table(spark, d, "documents").select("doc_id", "text", F.pmod(F.hash("doc_id"), F.lit(3)).alias("batch"))
     url = F.concat(F.lit("https://c.example.com/"), F.col("doc_id").cast("string"))
-    stream = flows.replay(spark, f"{root}/in", 1).select(url.alias("url"), F.col("doc_id").cast("string").alias("external_id"), _body().alias("content"), *_null("string", "title"), *_null("timestamp", "updated_at"), *_null("long", "source_id"))
+    stream = flows.in_batches(docs, "batch", file_rows=20_000).select(url.alias("url"), F.col("doc_id").cast("string").alias("external_id"), _body().alias("content"), *_null("string", "title"), *_null("timestamp", "updated_at"), *_null("long", "source_id"))
     flows.ingest_catalog(stream, s, lambda: "2001-06-01 00:00:00", f"{root}/log").awaitTermination()
     return s.read("postings").select("canonical_key", "content_hash", "extraction_version")
 
