@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as _html
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -97,13 +97,13 @@ def plain_text(page: str | None) -> str | None:
     return "\n".join(line for line in found if line)
 
 
-@F.pandas_udf(StringType())
-def html_to_text(page: pd.Series) -> pd.Series:
-    """Text of HTML; '' for a page without text."""
-    return page.map(plain_text)
+@F.arrow_udf(StringType())
+def html_to_text(page: pa.Array) -> pa.Array:
+    """Text of HTML; '' for a page without text.  One page of a batch is a Python string at a time."""
+    return pa.array((plain_text(t.as_py()) for t in page), pa.string(), size=len(page))
 
 
-@F.pandas_udf(StringType())
-def html_unescape(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def html_unescape(text: pa.Array) -> pa.Array:
     """Character references decoded once."""
-    return text.map(lambda t: None if t is None else _html.unescape(t))
+    return pa.array((None if not t.is_valid else _html.unescape(t.as_py()) for t in text), pa.string(), size=len(text))
