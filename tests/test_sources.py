@@ -127,6 +127,19 @@ def test_pages_of_many_boards_share_files_and_the_last_answer_counts(spark, tmp_
     assert spark.read.format("boards").load(root).count() in (1, 3000)
 
 
+def test_a_stream_deals_shelves_not_boards(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    board_source.register(spark)
+    bodies = spark.range(4000).select(F.concat(F.lit("b"), F.floor(F.col("id") / 2).cast("string")).alias("board_token"), (F.col("id") % 2 + 1).cast("int").alias("page_no"), F.lit("[]").alias("body"))
+    board_source.land(bodies, "lever", root)
+    reader = board_source.BoardStreamReader({"path": root})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert len(json.dumps(end)) < 200 and len(reader.partitions(start, end)) <= board_source.SHELVES
+    q = spark.readStream.format("boards").load(root).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    assert spark.read.parquet(out).distinct().count() == 4000 and len(list((tmp_path / "out").glob("*.parquet"))) <= board_source.SHELVES
+
+
 def test_packed_payloads_share_files(spark, tmp_path):
     rows = [(kind, f"t{n}", 1, json.dumps(body)) for kind, body in PAYLOADS.items() for n in range(100)]
     boards.pack(spark.createDataFrame(rows, "kind string, board_token string, page_no int, body string"), str(tmp_path / "in"))
