@@ -196,8 +196,7 @@ def listings(spark: SparkSession, path: str, kinds: list[str] | None = None, tog
 
 def walked(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """One row per page for :func:`matchloom.operators.catalog.completeness`; ``source_id`` is kind and board."""
-    each = reduce(DataFrame.unionByName, [boards.pages(k, pages.filter(F.col("kind") == k).drop("kind")) for k in kinds or list(boards.ADAPTERS)])
-    return each.withColumn("source_id", F.concat_ws("/", "kind", "board_token"))
+    return boards.pages_of_kinds(pages, kinds or None).withColumn("source_id", F.concat_ws("/", "kind", "board_token"))
 
 
 __all__ = ["BoardSource", "SCHEMA", "land", "listings", "register", "walked"]

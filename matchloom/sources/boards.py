@@ -8,7 +8,8 @@ are read with explicit schemas; what does not fit them is reported by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,10 +143,26 @@ def enumerate_all(spark: SparkSession, root: str, kinds: list[str] | None = None
     return out
 
 
-def pages(kind: str, bodies: DataFrame) -> DataFrame:
-    """One row per payload for the completeness check: kind, board_token, page_no, n_items, total_found, corrupt."""
+def _items(kind: str) -> Column:
+    """Number of items of a payload of this kind, null where its list is missing."""
     if kind not in _SHAPES:
         raise ValueError(f"unknown board kind {kind!r}")
-    lists = [F.col("body") if p == "$" else F.get_json_object("body", p) for p in _SHAPES[kind]]
-    items = F.coalesce(*[F.json_array_length(c) for c in lists])
-    return bodies.select(F.lit(kind).alias("kind"), "board_token", "page_no", F.coalesce(items, F.lit(0)).alias("n_items"), F.get_json_object("body", "$.totalFound").cast("int").alias("total_found"), items.isNull().alias("corrupt"))
+    return F.coalesce(*[F.json_array_length(F.col("body") if p == "$" else F.get_json_object("body", p)) for p in _SHAPES[kind]])
+
+
+def _page_rows(bodies: DataFrame, kind: Column, items: Column) -> DataFrame:
+    return bodies.select(kind.alias("kind"), "board_token", "page_no", F.coalesce(items, F.lit(0)).alias("n_items"), F.get_json_object("body", "$.totalFound").cast("int").alias("total_found"), items.isNull().alias("corrupt"))
+
+
+def pages(kind: str, bodies: DataFrame) -> DataFrame:
+    """One row per payload for the completeness check: kind, board_token, page_no, n_items, total_found, corrupt."""
+    return _page_rows(bodies, F.lit(kind), _items(kind))
+
+
+def pages_of_kinds(bodies: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """:func:`pages` for payloads with their kind in a column, read once for all kinds; those of other kinds are left out."""
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for kind in ADAPTERS if kinds is None else kinds:
+        alike.setdefault(_SHAPES.get(kind, (kind,)), []).append(kind)
+    items = reduce(lambda c, same: c.when(F.col("kind").isin(same), _items(same[0])), alike.values(), F)
+    return _page_rows(bodies.filter(F.col("kind").isin(sum(alike.values(), []))), F.col("kind"), items)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import catalog, embed
+from matchloom.plans.boards import board_pages
 from matchloom.sources import board_source, boards, texts
 
 PAYLOADS = {
@@ -50,6 +51,25 @@ def test_shapes_and_unknown_kinds(spark):
     del boards.ADAPTERS["own"]
 
 
+def test_pages_of_kinds_equal_pages_of_each(spark):
+    rows = [(kind, board, 1, body) for kind, good in PAYLOADS.items() for board, body in (("a", json.dumps(good)), ("b", json.dumps(good)[:30]), ("c", '{"error": 1}'), ("d", None))]
+    bodies = spark.createDataFrame([*rows, ("other", "a", 1, "[1]"), (None, "a", 1, "[1]")], "kind string, board_token string, page_no int, body string")
+    each = [r for kind in PAYLOADS for r in boards.pages(kind, bodies.filter(F.col("kind") == kind)).collect()]
+    assert sorted(each, key=str) == sorted(boards.pages_of_kinds(bodies).collect(), key=str) and len(each) == len(rows)
+    assert {r.kind for r in boards.pages_of_kinds(bodies, ["lever", "usajobs"]).collect()} == {"lever", "usajobs"}
+    with pytest.raises(ValueError, match="other"):
+        boards.pages_of_kinds(bodies, ["lever", "other"])
+
+
+def test_orders_are_dealt_once_for_all_kinds(spark, tmp_path, capsys):
+    spark.range(500).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "'O' AS o_orderstatus", "timestamp'2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    found = board_pages(spark, str(tmp_path))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == plan.count("Exchange") == 1
+    assert {(r.kind, r.board_token, r.n_items) for r in found.collect()} == {(k, f"b{n}", 100 if n else 0) for k in PAYLOADS for n in range(5)}
+
+
 def test_url_lists_and_pages(spark, tmp_path):
     (tmp_path / "l.txt").write_bytes(b"\xef\xbb\xbfhttps://e.com/1\r\n\r\nhttps://e.com/2\n")
     assert [r.line for r in texts.url_lists(spark, str(tmp_path / "l.txt")).orderBy("line_no").collect()] == ["https://e.com/1", "https://e.com/2"]
