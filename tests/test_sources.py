@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import catalog, embed
+from matchloom.plans import boards as plans
 from matchloom.plans.boards import board_pages
 from matchloom.sources import board_source, boards, texts
+from matchloom.streaming import flows
 
 PAYLOADS = {
     "greenhouse": {"jobs": [{"id": 1, "absolute_url": "https://g/1", "title": "T", "updated_at": "2024-01-02T03:04:05-01:00", "content": "&lt;p&gt;Hello &amp;amp; bye&lt;/p&gt;"}, {"id": 2}, {"id": 3, "absolute_url": "https://g/3", "content": None}]},
@@ -160,6 +162,16 @@ def test_a_stream_deals_shelves_not_boards(spark, tmp_path):
     assert spark.read.parquet(out).distinct().count() == 4000 and len(list((tmp_path / "out").glob("*.parquet"))) <= board_source.SHELVES
 
 
+def test_files_and_tasks_of_walks_do_not_grow_with_boards(spark, tmp_path, monkeypatch):
+    spark.range(80_000).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "'O' AS o_orderstatus", "timestamp'2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(plans, "shared_folder", lambda _: str(tmp_path / "in"))
+    monkeypatch.setattr(flows, "shared_folder", lambda _: str(tmp_path / "read"))
+    found = plans.board_walks(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted((f"smartrecruiters/b{n}", 2, False) for n in range(4, 800, 8))
+    landed, read = (sum(not f.name.startswith(("_", ".")) for f in (tmp_path / x).rglob("*-*.*")) for x in ("in", "read/out"))
+    assert 0 < landed <= 32 and 0 < read <= 32  # of 100 boards and 200 pages
+
+
 def test_packed_payloads_share_files(spark, tmp_path):
     rows = [(kind, f"t{n}", 1, json.dumps(body)) for kind, body in PAYLOADS.items() for n in range(100)]
     boards.pack(spark.createDataFrame(rows, "kind string, board_token string, page_no int, body string"), str(tmp_path / "in"))
